@@ -7,6 +7,7 @@ pattern wins. Every classifier takes its rule set as a parameter.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -79,6 +80,20 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Catalyst inlines an expression wherever a predicate or a CASE branch uses
+    it; a lambda argument is evaluated once however often it is used.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def has_word_of(text: Column, words: list[str]) -> Column:
+    """Whether short text holds any of many literal words; one pass over the text."""
+    return text.rlike("|".join(re.escape(w) for w in words))
+
+
 def matches(text: Column, pattern: str, word_boundary: bool = False) -> Column:
     """Whether upper-cased ``text`` holds ``pattern``; ``%`` spans any characters."""
     if word_boundary:
@@ -158,8 +173,6 @@ def classify_visa(
     Explicit flags come first, then keywords. ``word_boundary=False`` matches
     bare substrings.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = {name: found_keywords(low, words, word_boundary) for name, words in VISA_KEYWORDS.items()}
 
     def outcome(label: str, confidence: float, signals: Column, method: str) -> Column:
         return F.struct(
@@ -182,11 +195,20 @@ def classify_visa(
         ("OPT", 2, 0.75),
         ("OPT", 1, 0.65),
     ]
-    result = outcome("Unknown", 0.0, F.array().cast("array<string>"), "keywords")
-    for label, needed, confidence in reversed(steps):
-        result = F.when(
-            F.size(found[label]) >= needed, outcome(label, confidence, F.slice(found[label], 1, 3), "keywords")
-        ).otherwise(result)
+
+    def by_keywords(found: Column) -> Column:
+        result = outcome("Unknown", 0.0, F.array().cast("array<string>"), "keywords")
+        for label, needed, confidence in reversed(steps):
+            words = found[label]
+            result = F.when(
+                F.size(words) >= needed, outcome(label, confidence, F.slice(words, 1, 3), "keywords")
+            ).otherwise(result)
+        return result
+
+    def search(low: Column) -> Column:
+        return F.struct(*[found_keywords(low, words, word_boundary).alias(n) for n, words in VISA_KEYWORDS.items()])
+
+    result = bind(bind(F.lower(F.coalesce(text, F.lit(""))), search), by_keywords)
     if new_grad_flag is not None:
         result = F.when(
             flag_is_yes(new_grad_flag), outcome("OPT", 0.85, flagged("explicit_new_grad_flag"), "explicit")
@@ -215,15 +237,18 @@ def skills_in(text: Column, skills: list[str] = SKILLS, compat: bool = False) ->
     sequence. ``compat`` drops tokens of one or two letters and finds no
     multi-word skill.
     """
-    single = [s for s in skills if " " not in s]
-    words = tokens(text, 3 if compat else 1)
-    hits = F.array_intersect(F.array(*map(F.lit, single)), words)
+    single = F.array(*[F.lit(s) for s in skills if " " not in s])
     phrases = [] if compat else [s for s in skills if " " in s]
-    if not phrases:
-        return hits
-    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    more = F.array_compact(F.array(*[F.when(line.contains(f" {p} "), F.lit(p)) for p in phrases]))
-    return F.concat(hits, more)
+
+    def look_up(words: Column) -> Column:
+        hits = F.array_intersect(single, words)
+        if not phrases:
+            return hits
+        line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        more = bind(line, lambda x: F.array_compact(F.array(*[F.when(x.contains(f" {p} "), F.lit(p)) for p in phrases])))
+        return F.concat(hits, more)
+
+    return bind(tokens(text, 3 if compat else 1), look_up)
 
 
 def extract_skills(text: Column, limit: int = 5, skills: list[str] = SKILLS) -> Column:

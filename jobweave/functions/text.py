@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobweave.functions.rules import bind, has_word_of
+
 # ---------------------------------------------------------------- fixed values
 STATE_CODES = {
     "massachusetts": "MA", "california": "CA", "new york": "NY", "texas": "TX", "florida": "FL",
@@ -18,10 +20,22 @@ STATE_CODES = {
     "atlanta": "GA", "denver": "CO", "miami": "FL", "philadelphia": "PA",
 }
 DATE_JUNK = ["N/A", "", "None", "null", "Apply"]
-# Order matters: month first is tried before day first.
+# Format and the shape of text it is tried on. Order matters: month first is
+# tried before day first.
 DATE_FORMATS = [
-    "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d'T'H:m:s.SSSSSS'Z'", "M-d-yyyy", "d-M-yyyy", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy",
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3}\s+\d{1,2},\s+\d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{3,}\s+\d{1,2},\s+\d{4}$"),
+    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-M-d'T'H:m:s", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-M-d'T'H:m:s.SSSSSS'Z'", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}Z$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("d MMM yyyy", r"^\d{1,2}\s+[A-Za-z]{3}\s+\d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2}\s+[A-Za-z]{3,}\s+\d{4}$"),
 ]
 JOB_ID_PATTERNS = [
     r"[Jj]ob\s*[IiDd#]+[\s:]*([A-Z0-9\-]+)",
@@ -35,9 +49,14 @@ NEW_GRAD_TERMS = ["new grad", "new-grad", "entry level"]
 # ------------------------------------------------------------ end fixed values
 
 
+def strip(col: Column) -> Column:
+    """Leading and trailing white space of any kind removed; ``trim`` takes blanks only."""
+    return F.regexp_replace(col, r"^\s+|\s+$", "")
+
+
 def null_clean(col: Column) -> Column:
     """PRJ2: trimmed text, with blanks and the text ``nan`` as NULL."""
-    text = F.trim(col)
+    text = strip(col)
     return F.when((text != "") & (F.lower(text) != "nan"), text)
 
 
@@ -109,35 +128,40 @@ def state_code(location: Column, codes: dict[str, str] = STATE_CODES) -> Column:
 
 def parse_posted_date(col: Column, as_of: str) -> Column:
     """STRF4: posting time from free text, relative to ``as_of``; junk gives NULL."""
-    text = F.when(~col.isin(DATE_JUNK), F.trim(col))
-    low, now = F.lower(text), F.lit(as_of).cast("timestamp_ntz")
-    amount = F.regexp_extract(low, r"^\s*(\d+)\s", 1).try_cast("int")
-    parsed = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
-    first_word = F.try_to_timestamp(F.split(text, r"\s+")[0], F.lit("yyyy-M-d")).cast("timestamp_ntz")
-    ago = low.contains("ago")
-    relative = (
-        F.when(ago & low.contains("day") & amount.isNotNull(), now - F.make_dt_interval(days=amount))
-        .when(ago & ~low.contains("day") & low.contains("hour") & amount.isNotNull(), now - F.make_dt_interval(hours=amount))
-        .when(low.contains("yesterday"), now - F.expr("INTERVAL 1 DAY"))
-        .when(low.contains("today"), now)
-    )
-    return F.coalesce(*parsed, first_word, relative)
+    now = F.lit(as_of).cast("timestamp_ntz")
+
+    def parse(text: Column, fmt: str) -> Column:
+        return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+
+    def read(text: Column) -> Column:
+        low = F.lower(text)
+        amount = F.regexp_extract(low, r"^(\d+)\s", 1).try_cast("int")
+        # a format is tried only on text of its shape, as a failed parse is slow
+        parsed = [F.when(text.rlike(shape), parse(text, fmt)) for fmt, shape in DATE_FORMATS]
+        first_word = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}\s"), parse(F.split(text, r"\s+")[0], "yyyy-M-d"))
+        ago = low.contains("ago")
+        relative = (
+            F.when(ago & low.contains("day") & amount.isNotNull(), now - F.make_dt_interval(days=amount))
+            .when(
+                ago & ~low.contains("day") & low.contains("hour") & amount.isNotNull(),
+                now - F.make_dt_interval(hours=amount),
+            )
+            .when(low.contains("yesterday"), now - F.expr("INTERVAL 1 DAY"))
+            .when(low.contains("today"), now)
+        )
+        return F.coalesce(*parsed, first_word, relative)
+
+    return bind(F.when(~col.isin(DATE_JUNK), F.regexp_replace(strip(col), r"\s+", " ")), read)
 
 
 def company_size_in(text: Column, sizes: list[str] = COMPANY_SIZES) -> Column:
     """STRF6: whether the text names a company-size band."""
-    hit = F.lit(False)
-    for size in sizes:
-        hit = hit | text.contains(size)
-    return hit
+    return has_word_of(text, sizes)
 
 
 def is_new_grad_text(text: Column) -> Column:
     """STRF6"""
-    low, hit = F.lower(text), F.lit(False)
-    for term in NEW_GRAD_TERMS:
-        hit = hit | low.contains(term)
-    return hit
+    return has_word_of(F.lower(text), NEW_GRAD_TERMS)
 
 
 def extract_job_id(text: Column) -> Column:
@@ -151,7 +175,7 @@ def clean_model_json(response: Column, labels: list[str]) -> Column:
     Code fences are dropped, the outermost braces are parsed, and the label
     and the confidence must be valid.
     """
-    bare = F.trim(F.regexp_replace(response, r"```(json)?\n?", ""))
+    bare = strip(F.regexp_replace(response, r"```(json)?\n?", ""))
     body = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     parsed = F.from_json(body, "visa_category string, confidence double, signals array<string>, reasoning string")
     valid = parsed["visa_category"].isin(labels) & parsed["confidence"].between(0.0, 1.0)
@@ -165,7 +189,7 @@ def composite_key(*parts: Column) -> Column:
 
 def cache_key(question: Column, resume: Column | None = None, last_turn: Column | None = None) -> Column:
     """STRF9: digest of the question, the head of the résumé and the last user turn."""
-    pieces = [F.lower(F.trim(question))]
+    pieces = [strip(F.lower(question))]
     if resume is not None:
         pieces.append(F.when(resume != "", F.concat(F.lit("|resume:"), F.substring(resume, 1, 200))))
     if last_turn is not None:

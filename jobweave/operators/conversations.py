@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.functions.text import strip
 from jobweave.operators.staging import top_per_key
 from jobweave.session import materialize_once
 
@@ -192,15 +193,15 @@ def companies_in_reply(text: Column) -> Column:
     """TXT11: company names in list lines, then after "at", in order."""
 
     def clean(name: Column) -> Column:
-        name = F.trim(name)
+        name = strip(name)
         for noise in NAME_NOISE:
             name = F.replace(name, F.lit(noise), F.lit(""))
-        return F.trim(name)
+        return strip(name)
 
     body = F.coalesce(text, F.lit(""))
     listed = F.transform(F.regexp_extract_all(body, F.lit(LISTED_COMPANY), F.lit(1)), clean)
     listed = F.filter(listed, lambda n: (F.length(n) > 3) & (F.length(n) < 80))
-    at = F.transform(F.regexp_extract_all(body, F.lit(AT_COMPANY), F.lit(1)), F.trim)
+    at = F.transform(F.regexp_extract_all(body, F.lit(AT_COMPANY), F.lit(1)), strip)
     return F.concat(listed, F.filter(at, lambda n: F.length(n) > 3))
 
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.functions.rules import any_of
+from jobweave.functions.rules import any_of, bind, has_word_of
+from jobweave.functions.text import strip
 
 # ---------------------------------------------------------------- fixed values
 SEARCH_COLUMNS = ["title", "company", "description", "snippet"]
@@ -64,8 +65,11 @@ SALARY_CEILING = 500_000
 
 def contains_any(col: Column, values: list[str]) -> Column:
     """Case-insensitive literal containment of any value; NULL text does not match."""
-    low = F.lower(col)
-    return F.coalesce(any_of([low.contains(v.lower()) for v in values]), F.lit(False))
+    def hit(low: Column) -> Column:
+        return any_of([low.contains(v.lower()) for v in values])
+
+    found = hit(F.lower(col)) if len(values) == 1 else bind(F.lower(col), hit)
+    return F.coalesce(found, F.lit(False))
 
 
 def keyword_search(
@@ -127,13 +131,12 @@ def usa_location(column: str = "location", strict: bool = False, word_boundary:
     """FLT9: no foreign place named; strict also needs a US marker when a place is given."""
     place = F.lower(F.col(column))
     banned = NON_US_MARKERS if strict else FOREIGN_PLACES
-
-    def named(word: str) -> Column:
-        return place.rlike(rf"\b{word.strip()}\b") if word_boundary else place.contains(word)
-
-    ok = ~any_of([named(w) for w in banned])
+    if word_boundary:
+        ok = ~place.rlike(rf"\b({'|'.join(w.strip() for w in banned)})\b")
+    else:
+        ok = ~has_word_of(place, banned)
     if strict:
-        ok = ok & any_of([place.contains(m) for m in US_MARKERS])
+        ok = ok & has_word_of(place, US_MARKERS)
     return F.coalesce((place == "") | ok, F.lit(True))
 
 
@@ -237,23 +240,31 @@ def document_validity(
     longest: int = 50_000,
 ) -> Column:
     """FLT16: struct of ``is_valid`` and the ``reason`` for a rejection."""
-    low = F.lower(text)
-    score = sum((low.contains(t).cast("int") for t in require), F.lit(0))
+
+    def content(low: Column) -> Column:
+        score = sum((low.contains(t).cast("int") for t in require), F.lit(0))
+        return F.when(any_of([low.contains(t) for t in reject]), "billing or procedure document").when(
+            score < needed, "not a resume"
+        )
+
     reason = (
-        F.when(text.isNull() | (F.trim(text) == ""), "empty")
+        F.when(text.isNull() | (strip(text) == ""), "empty")
         .when(F.length(text) < shortest, "too short")
         .when(F.length(text) > longest, "too long")
-        .when(any_of([low.contains(t) for t in reject]), "billing or procedure document")
-        .when(score < needed, "not a resume")
+        .otherwise(bind(F.lower(text), content))
     )
-    return F.struct(reason.isNull().alias("is_valid"), F.coalesce(reason, F.lit("")).alias("reason"))
+    return bind(reason, lambda r: F.struct(r.isNull().alias("is_valid"), F.coalesce(r, F.lit("")).alias("reason")))
 
 
 def is_gibberish(text: Column, share: float = 0.6) -> Column:
     """FLT17: most words are longer than three letters and have no vowel."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    odd = F.filter(words, lambda w: (F.length(w) > 3) & ~F.lower(w).rlike("[aeiou]"))
-    return (F.length(F.trim(text)) > 5) & (F.size(odd) > F.size(words) * share)
+
+    def mostly_odd(words: Column) -> Column:
+        odd = F.filter(words, lambda w: (F.length(w) > 3) & ~F.lower(w).rlike("[aeiou]"))
+        return F.size(odd) > F.size(words) * share
+
+    words = F.filter(F.split(strip(text), r"\s+"), lambda w: w != "")
+    return (F.length(strip(text)) > 5) & bind(words, mostly_odd)
 
 
 def unsafe_query(text: Column) -> Column:

@@ -101,17 +101,16 @@ def update_unclassified(jobs: DataFrame, as_of: str, **flags: Column) -> DataFra
     """
     todo = F.col("visa_category").isNull() | (F.col("visa_category") == "")
     answer = F.when(todo, rules.classify_visa(F.concat_ws(" ", "title", "description"), **flags))
-    return (
-        jobs.withColumn("_answer", answer)
-        .withColumn("classified_at", F.when(todo, F.lit(as_of).cast("timestamp_ntz")))
-        .withColumn("visa_category", F.when(todo, F.col("_answer.visa_category")).otherwise(F.col("visa_category")))
-        .withColumn(
-            "classification_confidence",
-            F.when(todo, F.col("_answer.confidence")).otherwise(F.col("classification_confidence")),
-        )
-        .withColumn("classification_signals", F.col("_answer.signals"))
-        .drop("_answer")
-    )
+    merged = {
+        "visa_category": F.when(todo, F.col("_answer.visa_category")).otherwise(F.col("visa_category")),
+        "classification_confidence": F.when(todo, F.col("_answer.confidence")).otherwise(
+            F.col("classification_confidence")
+        ),
+        "classification_signals": F.col("_answer.signals"),
+        "classified_at": F.when(todo, F.lit(as_of).cast("timestamp_ntz")),
+    }
+    # all at once: each of them tests the stored class
+    return jobs.withColumn("_answer", answer).withColumns(merged).drop("_answer")
 
 
 def pending_work(

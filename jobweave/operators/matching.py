@@ -85,12 +85,16 @@ def match_scores(pairs: DataFrame) -> DataFrame:
 
 
 def overall_score(weights: dict[str, float] = SEMANTIC_WEIGHTS) -> Column:
-    """VEC6: weighted mean, one decimal. A missing semantic score counts as 0.5."""
-    total = F.lit(0).cast("decimal(20,8)")
+    """VEC6: weighted mean, one decimal, ties to the even digit.
+
+    A missing semantic score counts as 0.5. The sum is taken in decimals and
+    cleared of the error of shares such as one third before it is rounded.
+    """
+    total = F.lit(0).cast("decimal(20,12)")
     for part, weight in weights.items():
         value = F.coalesce("semantic_score", F.lit(0.5)) * 100 if part == "semantic" else F.col(f"{part}_score")
-        total = total + value.cast("decimal(18,8)") * F.lit(str(weight)).cast("decimal(3,2)")
-    return F.round(total, 1).cast("double")
+        total = total + value.cast("decimal(16,12)") * F.lit(str(weight)).cast("decimal(3,2)")
+    return F.bround(F.round(total, 8), 1).cast("double")
 
 
 def match_reasoning() -> Column:
@@ -137,7 +141,7 @@ def rank_matches(pairs: DataFrame, profile: str, tie_break: str = "job_id", n: i
 
 def direct_matches(candidates: DataFrame, profile: str, job: str, n: int = 10) -> DataFrame:
     """VEC2 candidates as final matches, with scores taken from the similarity."""
-    percent = F.round(F.col("score") * 100, 4)
+    percent = F.round(F.col("score") * 100, 7)
     best = top_per_key(candidates, [profile], [F.col("score").desc(), F.col(job).asc()], n)
     return best.withColumns(
         {
