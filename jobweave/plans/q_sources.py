@@ -1,0 +1,331 @@
+"""Queries over readers, writers, streams and data-quality checks.
+
+Each writes rows of the given tables to the shared folder in the format under
+test and reads them back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from jobweave import schemas
+from jobweave.operators import conversations as cv
+from jobweave.operators import quality as dq
+from jobweave.operators import staging as st
+from jobweave.plans.q_staging import STAGED_SQL
+from jobweave.plans.q_text import ENTITIES_SQL, INTENT_SQL, STATE_SQL, talks
+from jobweave.plans.registry import query
+from jobweave.session import new_path
+from jobweave.sources import adapters as ad
+from jobweave.sources import files, sinks
+from jobweave.sources.adapters import AS_OF, FILINGS_SQL, JOBS_RAW_SQL, JOBS_SQL, jobs_processed, jobs_raw, read
+from jobweave.streaming import conversation_state as cs
+from jobweave.streaming import ingest
+
+C = F.col
+
+
+def feed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Postings as a scraper would land them."""
+    return jobs_raw(spark, d).select(
+        "job_id", "url", "title", "company", "location", "description",
+        C("salary_min").cast("double").alias("salary_min"), "job_type",
+        F.date_format("posted_date", "yyyy-MM-dd").alias("posted_date"),
+        F.date_format("scraped_at", "yyyy-MM-dd'T'HH:mm:ss").alias("scraped_at"), "source",
+    )
+
+
+FEED_SQL = f"""WITH {JOBS_RAW_SQL} SELECT job_id, url, title, trim(company) AS company,
+  nullif(location, '') AS location, nullif(description, '') AS description, salary_min::DOUBLE AS salary_min,
+  strftime(posted_date, '%Y-%m-%d') AS posted_date, strftime(scraped_at, '%Y-%m-%d') AS scraped_at, source FROM jobs_raw"""
+
+
+def _loaded(df: DataFrame) -> DataFrame:
+    return files.load_clean(df).select(
+        "job_id", "url", "title", "company", "location", "description", C("salary_min").cast("double").alias("salary_min"),
+        "posted_date", F.date_format("scraped_at", "yyyy-MM-dd").alias("scraped_at"), "source",
+    )
+
+
+@query("read_scraped_lines", FEED_SQL)
+def read_scraped_lines(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "feed-lines")
+    feed_rows(spark, d).write.json(path)
+    return _loaded(files.read_scraped_lines(spark, path))
+
+
+@query("read_scraped_json", FEED_SQL)
+def read_scraped_json(spark: SparkSession, d: str) -> DataFrame:
+    """Array-of-objects files of bounded size, as scrapers land them."""
+    path = new_path(spark, "feed-arrays")
+    rows = feed_rows(spark, d)
+    arrays = rows.groupBy(F.floor(C("job_id").cast("long") / 5000).alias("batch")).agg(
+        F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")
+    )
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return _loaded(files.read_scraped_json(spark, path))
+
+
+LCA_SCHEMA = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("CASE_NUMBER", "CASE STATUS", "EMPLOYER-NAME", "WORKSITE_STATE",
+                                                 "WAGE_RATE_OF_PAY_FROM", "RECEIVED_DATE")]
+)
+
+
+@query(
+    "read_lca_csv",
+    f"""WITH {FILINGS_SQL} SELECT case_number, case_status, employer_name, worksite_state,
+      CASE WHEN case_number::BIGINT % 11 = 0 THEN NULL ELSE wage_rate_of_pay_from::DOUBLE END AS wage_rate_of_pay_from,
+      CASE WHEN case_number::BIGINT % 13 = 0 THEN NULL ELSE strftime(received_date, '%Y-%m-%d') END AS received_date,
+      '{AS_OF}' AS loaded_at FROM filings WHERE case_number::BIGINT % 17 <> 0""",
+)
+def read_lca_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Filings with bad amounts, bad dates and missing states, through CSV."""
+    path = new_path(spark, "lca-csv")
+    n = C("case_number").cast("long")
+    rows = ad.filings(spark, d).select(
+        C("case_number").alias("CASE_NUMBER"), C("case_status").alias("CASE STATUS"),
+        C("employer_name").alias("EMPLOYER-NAME"),
+        F.when(n % 17 != 0, C("worksite_state")).alias("WORKSITE_STATE"),
+        F.when(n % 11 == 0, "n/a").otherwise(C("wage_rate_of_pay_from").cast("string")).alias("WAGE_RATE_OF_PAY_FROM"),
+        F.when(n % 13 == 0, "soon, maybe").otherwise(F.date_format("received_date", "yyyy-MM-dd")).alias("RECEIVED_DATE"),
+    )
+    rows.write.csv(path, header=True, quote='"', escape='"')
+    loaded = files.coerce_types(
+        files.normalize_headers(files.read_lca_csv(spark, path, LCA_SCHEMA)),
+        ["received_date"], ["wage_rate_of_pay_from"], AS_OF,
+    )
+    return loaded.withColumns(
+        {c: F.date_format(c, "yyyy-MM-dd") for c in ("received_date", "loaded_at")}
+    )
+
+
+@query(
+    "copy_json_with_source",
+    "SELECT event_id, event_type AS source FROM events WHERE event_id % 9 <> 0",
+)
+def copy_json_with_source(spark: SparkSession, d: str) -> DataFrame:
+    """One document per line, some of them broken."""
+    path = new_path(spark, "json-docs")
+    doc = F.to_json(F.struct("event_id", C("event_type").alias("source"), "props"))
+    broken = F.when(C("event_id") % 9 == 0, F.concat(F.lit("{oops "), doc)).otherwise(doc)
+    read(spark, d, "events").select(broken.alias("value")).write.text(path)
+    return files.copy_json_with_source(spark, path, AS_OF).select(
+        F.try_variant_get("job_data", "$.event_id", "long").alias("event_id"), "source"
+    )
+
+
+@query(
+    "load_company_list",
+    """WITH c AS (SELECT c_name AS name, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN ' https://c' || c_custkey || '.example.com '
+        WHEN 2 THEN 'No central page' WHEN 3 THEN 'c' || c_custkey || '.example.com' WHEN 4 THEN 'd' || c_custkey END AS url,
+        c_custkey % 12 < 6 AS verified FROM customer)
+    SELECT name, trim(url) AS url FROM c WHERE trim(url) <> '' AND NOT contains(url, 'No central')
+      AND (verified OR starts_with(trim(url), 'http'))""",
+)
+def load_company_list(spark: SparkSession, d: str) -> DataFrame:
+    key = C("c_custkey")
+    url = (
+        F.when(key % 6 == 0, "")
+        .when(key % 6 == 1, F.concat(F.lit(" https://c"), key, F.lit(".example.com ")))
+        .when(key % 6 == 2, "No central page")
+        .when(key % 6 == 3, F.concat(F.lit("c"), key, F.lit(".example.com")))
+        .when(key % 6 == 4, F.concat(F.lit("d"), key))
+    )
+    rows = read(spark, d, "customer").select(
+        C("c_name").alias("company_name"), url.alias("final_career_url"),
+        F.when(key % 12 < 6, "True").otherwise("False").alias("verified"),
+    )
+    return files.load_company_list(rows)
+
+
+@query(
+    "append_and_replace",
+    "SELECT 'appended' AS kind, r_name, 2::BIGINT AS copies FROM region UNION ALL SELECT 'replaced', n_name, 1 FROM nation",
+)
+def append_and_replace(spark: SparkSession, d: str) -> DataFrame:
+    region, nation = read(spark, d, "region"), read(spark, d, "nation")
+    appended, replaced = new_path(spark, "appended"), new_path(spark, "replaced")
+    sinks.append_table(region, appended)
+    sinks.append_table(region, appended)
+    sinks.replace_table(region.select(C("r_name").alias("n_name")), replaced)
+    sinks.replace_table(nation.select("n_name"), replaced)
+
+    def counted(path: str, kind: str, name: str) -> DataFrame:
+        return spark.read.parquet(path).groupBy(C(name).alias("r_name")).agg(F.count(F.lit(1)).alias("copies")).select(
+            F.lit(kind).alias("kind"), "r_name", "copies"
+        )
+
+    return counted(appended, "appended", "r_name").unionByName(counted(replaced, "replaced", "n_name"))
+
+
+@query(
+    "write_outputs",
+    f"WITH {JOBS_RAW_SQL} SELECT title, company, url, NULL AS salary FROM jobs_raw WHERE scraped_at >= DATE '{AS_OF}'",
+)
+def write_outputs(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "outputs")
+    sinks.write_outputs(jobs_raw(spark, d).filter(C("scraped_at") >= F.lit(AS_OF).cast("date")), path)
+    out = spark.read.csv(
+        f"{path}/csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        schema=", ".join(f"{c} string" for c in sinks.EXPORT_COLUMNS),
+    )
+    return out.select("title", "company", "url", "salary")
+
+
+@query(
+    "materialize_table",
+    f"""WITH {JOBS_SQL} SELECT visa_category, count(*) AS n FROM jobs GROUP BY visa_category""",
+)
+def materialize_table(spark: SparkSession, d: str) -> DataFrame:
+    counts = jobs_processed(spark, d).groupBy("visa_category").agg(F.count(F.lit(1)).alias("n"))
+    sinks.materialize(counts, "visa_counts", "table", new_path(spark, "visa-counts"))
+    return spark.sql("SELECT visa_category, n FROM visa_counts")
+
+
+# ---------------------------------------------------------------- streaming
+@query(
+    "stream_ingest",
+    """SELECT user_id, event_type, event_id, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) = 1""",
+)
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Events landed as JSON files, ingested file by file, read as newest row per key."""
+    root = new_path(spark, "stream")
+    events = read(spark, d, "events").select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type", "value"
+    )
+    # every row is landed twice: the second copy is a repeated delivery
+    events.unionByName(events).repartition(4, "event_id").write.json(f"{root}/in")
+    schema = T.StructType.fromDDL("event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    stream = ingest.read_stream(spark, f"{root}/in", schema, max_files=2)
+    unique = ingest.dedup_stream(stream, ["event_id"], "ts", "60 days")
+    keys, order = ["user_id", "event_type"], "ts"
+    ingest.start_ingest(unique, f"{root}/log", f"{root}/checkpoint", keys, order, ["event_id"]).awaitTermination()
+    return ingest.current_rows(spark, f"{root}/log", keys, order, ["event_id"]).select(
+        "user_id", "event_type", "event_id", "value"
+    )
+
+
+@query(
+    "stream_conversation_state",
+    f"""WITH {STATE_SQL} SELECT conv_id, max(turn) AS turn, array_to_string(arg_max(companies, turn), ',') AS companies,
+      array_to_string(arg_max(locations, turn), ',') AS locations, max(turns_kept) AS turns_kept FROM state GROUP BY conv_id""",
+)
+def stream_conversation_state(spark: SparkSession, d: str) -> DataFrame:
+    """Turns arrive in order of their number, some per micro-batch."""
+    root = new_path(spark, "talks")
+    turns = talks(spark, d)
+    for part in range(2):
+        turns.filter((C("turn") >= 4) == (part == 1)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = ingest.read_stream(spark, f"{root}/in", turns.schema, "parquet", max_files=1)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/log/batch_id={batch_id}")
+
+    (
+        cs.conversation_state_stream(stream)
+        .writeStream.outputMode("update")
+        .foreachBatch(store)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    newest = st.top_per_key(spark.read.parquet(f"{root}/log"), ["conv_id"], [C("turn").desc()])
+    return newest.select(
+        "conv_id", "turn", F.array_join("companies", ",").alias("companies"),
+        F.array_join("locations", ",").alias("locations"), "turns_kept",
+    )
+
+
+# ------------------------------------------------------------- data quality
+@query(
+    "unique_violations",
+    f"WITH {JOBS_RAW_SQL} SELECT job_id, count(*) AS n FROM jobs_raw GROUP BY job_id HAVING count(*) > 1",
+)
+def unique_violations(spark: SparkSession, d: str) -> DataFrame:
+    return dq.unique_violations(jobs_raw(spark, d), "job_id")
+
+
+@query(
+    "not_null_violations",
+    f"""WITH {JOBS_RAW_SQL} SELECT count(*) FILTER (job_id IS NULL) AS job_id, count(*) FILTER (location IS NULL) AS location,
+      count(*) FILTER (salary_min IS NULL) AS salary_min FROM jobs_raw""",
+)
+def not_null_violations(spark: SparkSession, d: str) -> DataFrame:
+    return dq.not_null_violations(jobs_raw(spark, d), ["job_id", "location", "salary_min"])
+
+
+@query(
+    "duplicate_report",
+    f"""WITH {STAGED_SQL}
+    SELECT 'jobs_raw' AS table_name, count(*) AS total_rows, count(DISTINCT job_id) AS unique_keys,
+      count(*) - count(DISTINCT job_id) AS duplicates FROM jobs_raw
+    UNION ALL SELECT 'stg_jobs', count(*), count(DISTINCT job_id), count(*) - count(DISTINCT job_id) FROM staged
+    UNION ALL SELECT 'events', count(*), count(DISTINCT user_id), count(*) - count(DISTINCT user_id) FROM events""",
+)
+def duplicate_report(spark: SparkSession, d: str) -> DataFrame:
+    jobs = jobs_raw(spark, d)
+    return dq.duplicate_report(
+        {
+            "jobs_raw": (jobs, "job_id"),
+            "stg_jobs": (st.stage_jobs(jobs, AS_OF), "job_id"),
+            "events": (read(spark, d, "events"), "user_id"),
+        }
+    )
+
+
+_LAYERS_SQL = f"""WITH {STAGED_SQL}, layers AS (
+  SELECT 'raw' AS layer, count(*) AS row_count FROM jobs_raw UNION ALL SELECT 'staging', count(*) FROM staged
+  UNION ALL SELECT 'dedup', count(DISTINCT (job_id, source)) FROM staged
+  UNION ALL SELECT 'mart', count(*) FROM staged WHERE title = 'none')"""
+
+
+def layers(spark: SparkSession, d: str) -> DataFrame:
+    raw = jobs_raw(spark, d)
+    staged = st.stage_jobs(raw, AS_OF)
+    return dq.layer_row_counts(
+        {
+            "raw": raw,
+            "staging": staged,
+            "dedup": st.latest_per_key(staged, ["job_id", "source"], ["scraped_at"], ["url"]),
+            "mart": staged.filter(C("title") == "none"),
+        },
+        "mart",
+    )
+
+
+@query("layer_row_counts", f"{_LAYERS_SQL} SELECT layer, row_count, layer = 'mart' AND row_count = 0 AS empty_mart FROM layers")
+def layer_row_counts(spark: SparkSession, d: str) -> DataFrame:
+    return layers(spark, d)
+
+
+@query(
+    "row_drop_alert",
+    f"""{_LAYERS_SQL}, old AS (SELECT layer, CASE layer WHEN 'raw' THEN row_count WHEN 'mart' THEN 10
+      ELSE row_count * 2 END AS previous_count FROM layers)
+    SELECT layer, row_count, previous_count, round((previous_count - row_count)::DOUBLE / previous_count, 4) AS dropped,
+      (previous_count - row_count)::DOUBLE / previous_count > 0.2 AS alert FROM layers JOIN old USING (layer)""",
+)
+def row_drop_alert(spark: SparkSession, d: str) -> DataFrame:
+    now = layers(spark, d)
+    before = now.withColumn(
+        "row_count",
+        F.when(C("layer") == "raw", C("row_count")).when(C("layer") == "mart", 10).otherwise(C("row_count") * 2),
+    )
+    return dq.row_drop_alert(now, before)
+
+
+@query(
+    "valid_rows",
+    f"""WITH {JOBS_SQL} SELECT count(*) AS total_rows, count(*) FILTER (title IS NOT NULL AND company IS NOT NULL
+      AND location IS NOT NULL AND salary_min IS NOT NULL AND salary_max IS NOT NULL AND h1b_sponsor IS NOT NULL
+      AND job_id IS NOT NULL) AS valid_rows, 0 AS missing_columns FROM jobs""",
+)
+def valid_rows(spark: SparkSession, d: str) -> DataFrame:
+    jobs = jobs_processed(spark, d)
+    missing = dq.missing_columns(jobs)
+    return dq.valid_rows(jobs, schemas.REQUIRED_JOB_COLUMNS).withColumn("missing_columns", F.lit(len(missing)))

@@ -12,11 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from jobweave.operators import conversations as cv
 
 
-def conversation_state_stream(turns: DataFrame, keep: int = cv.KEEP, idle_minutes: int = 24 * 60) -> DataFrame:
+def conversation_state_stream(turns: DataFrame, keep: int = cv.KEEP, idle_minutes: int | None = None) -> DataFrame:
     """State after the newest user turn of each conversation in a micro-batch.
 
-    The stored state is a few names; it is dropped when a conversation has been
-    idle for ``idle_minutes``.
+    The stored state is a few names. With ``idle_minutes`` it is dropped when a
+    conversation has been idle that long; the query then wakes up for time-outs
+    and needs a running trigger, as it never counts as done.
     """
     text = F.col("text")
     compact = turns.filter(F.col("role") == "user").select(
@@ -42,13 +43,13 @@ def conversation_state_stream(turns: DataFrame, keep: int = cv.KEEP, idle_minute
             names = [cv.remember(n, list(getattr(row, t)), keep) for n, t in zip(names, cv.ENTITY_TYPES)]
             seen += 1
         state.update((*names, seen))
-        state.setTimeoutDuration(idle_minutes * 60 * 1000)
+        if idle_minutes:
+            state.setTimeoutDuration(idle_minutes * 60 * 1000)
         if rows:
             yield pd.DataFrame(
                 [(key[0], rows[-1].turn, rows[-1].intent, *names, min(seen, cv.MAX_TURNS))],
                 columns=["conv_id", "turn", "last_intent", *cv.ENTITY_TYPES, "turns_kept"],
             )
 
-    return compact.groupBy("conv_id").applyInPandasWithState(
-        update, output, stored, "update", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout
+    return compact.groupBy("conv_id").applyInPandasWithState(update, output, stored, "update", timeout)
