@@ -12,7 +12,7 @@ from jobweave.operators import search as se
 from jobweave.operators import vectors as ve
 from jobweave.plans.registry import query
 from jobweave.sources import adapters as ad
-from jobweave.sources.adapters import AS_OF, JOBS_SQL, jobs_processed, read, sql_list, sql_pick
+from jobweave.sources.adapters import AS_OF, JOBS_SQL, jobs_processed, read, read_spread, sql_list, sql_pick
 
 F_ = F.col
 
@@ -28,7 +28,7 @@ def like_any(col: str, values: list[str]) -> str:
     f"SELECT doc_id FROM documents WHERE {like_any('text', ['the erst'])} OR {like_any('source', ['the erst'])}",
 )
 def keyword_search_documents(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").filter(flt.keyword_search("The Erst", ["text", "source"])).select("doc_id")
+    return read_spread(spark, d, "documents").filter(flt.keyword_search("The Erst", ["text", "source"])).select("doc_id")
 
 
 @query(
@@ -220,7 +220,7 @@ VALID_REQUIRE = ["the", "and", "which", "der", "que", "los", "with", "tion"]
 )
 def document_validity(spark: SparkSession, d: str) -> DataFrame:
     check = flt.document_validity(F_("text"), reject=VALID_REJECT, require=VALID_REQUIRE)
-    return read(spark, d, "documents").select("doc_id", check["reason"].alias("reason"))
+    return read_spread(spark, d, "documents").select("doc_id", check["reason"].alias("reason"))
 
 
 @query(
@@ -232,7 +232,7 @@ def document_validity(spark: SparkSession, d: str) -> DataFrame:
         ELSE '' END AS reason FROM documents""",
 )
 def document_validity_resume(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", flt.document_validity(F_("text"))["reason"].alias("reason"))
+    return read_spread(spark, d, "documents").select("doc_id", flt.document_validity(F_("text"))["reason"].alias("reason"))
 
 
 @query(
@@ -243,7 +243,7 @@ def document_validity_resume(spark: SparkSession, d: str) -> DataFrame:
       lambda x: length(x) > 3 AND NOT regexp_matches(lower(x), '[aeiou]'))) > len(words) * 0.6 AS gibberish FROM w""",
 )
 def gibberish_filter(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").select("conv_id", "turn", flt.is_gibberish(F_("text")).alias("gibberish"))
+    return read_spread(spark, d, "conversations").select("conv_id", "turn", flt.is_gibberish(F_("text")).alias("gibberish"))
 
 
 LOG_TEXTS = [
@@ -488,7 +488,7 @@ def cosine_topk_blocked(spark: SparkSession, d: str) -> DataFrame:
 
 @query("embed_documents")
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
-    return ve.embed(read(spark, d, "documents").select("doc_id", "text"), F_("text"), 64).select("doc_id", "embedding")
+    return ve.embed(read_spread(spark, d, "documents").select("doc_id", "text"), F_("text"), 64).select("doc_id", "embedding")
 
 
 @query(
@@ -497,7 +497,7 @@ def embed_documents(spark: SparkSession, d: str) -> DataFrame:
 )
 def batch_scorer(spark: SparkSession, d: str) -> DataFrame:
     scorer = ve.BatchScorer(lambda texts: texts.str.len() / 1000.0, "double")
-    return read(spark, d, "documents").select("doc_id", F.round(scorer(F_("text")), 6).alias("score"))
+    return read_spread(spark, d, "documents").select("doc_id", F.round(scorer(F_("text")), 6).alias("score"))
 
 
 # ----------------------------------------------------------------- matching

@@ -16,7 +16,7 @@ from jobweave.operators import staging as st
 from jobweave.plans.q_analytics import VISA_COUNTS_SQL, _CONF_SQL, _VISA_SQL
 from jobweave.plans.registry import query
 from jobweave.sources import adapters as ad
-from jobweave.sources.adapters import AS_OF, JOBS_RAW_SQL, JOBS_SQL, jobs_processed, jobs_raw, pick, read, sql_list, sql_pick
+from jobweave.sources.adapters import AS_OF, JOBS_RAW_SQL, JOBS_SQL, jobs_processed, jobs_raw, pick, read, read_spread, sql_list, sql_pick
 
 C = F.col
 
@@ -39,7 +39,7 @@ def null_clean(spark: SparkSession, d: str) -> DataFrame:
     "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 497) || '...' ELSE text END AS short FROM documents",
 )
 def truncate_ellipsis(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", tx.truncate_ellipsis(C("text"), 500).alias("short"))
+    return read_spread(spark, d, "documents").select("doc_id", tx.truncate_ellipsis(C("text"), 500).alias("short"))
 
 
 @query(
@@ -50,7 +50,7 @@ def truncate_ellipsis(spark: SparkSession, d: str) -> DataFrame:
       ELSE head || '...' END AS short FROM p""",
 )
 def truncate_at_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", tx.truncate_at_sentence(C("text")).alias("short"))
+    return read_spread(spark, d, "documents").select("doc_id", tx.truncate_at_sentence(C("text")).alias("short"))
 
 
 @query("norm_key", f"WITH {JOBS_RAW_SQL} SELECT url, upper(trim(company)) AS company_key FROM jobs_raw")
@@ -124,7 +124,7 @@ DOC_RULES = [("spanish", ["ción", "que"]), ("french", ["eau", "ment"]), ("germa
         WHEN upper(text) LIKE '%TH%ING%' THEN 'english' ELSE 'unknown' END AS label FROM documents""",
 )
 def classify_documents(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", rules.classify_rules(C("text"), DOC_RULES, "unknown").alias("label"))
+    return read_spread(spark, d, "documents").select("doc_id", rules.classify_rules(C("text"), DOC_RULES, "unknown").alias("label"))
 
 
 @query(
@@ -208,7 +208,7 @@ _WORD_PHRASES = " UNION ALL ".join(
     SELECT skill, count(*) AS count FROM m GROUP BY skill ORDER BY count DESC, skill LIMIT 20""",
 )
 def top_terms_documents(spark: SparkSession, d: str) -> DataFrame:
-    return an.top_skills(read(spark, d, "documents"), C("text"), skills=WORDS)
+    return an.top_skills(read_spread(spark, d, "documents"), C("text"), skills=WORDS)
 
 
 @query(
@@ -237,7 +237,7 @@ def extract_skills(spark: SparkSession, d: str) -> DataFrame:
     SELECT token, count(*) AS n FROM t GROUP BY token""",
 )
 def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
-    words = read(spark, d, "documents").select(F.explode(rules.tokens(C("text"), 3)).alias("token"))
+    words = read_spread(spark, d, "documents").select(F.explode(rules.tokens(C("text"), 3)).alias("token"))
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -363,7 +363,7 @@ def clean_model_json(spark: SparkSession, d: str) -> DataFrame:
       md5(lower(trim(text)) || '|resume:' || left(text, 200) || '|history:' || role) AS cache_key FROM conversations""",
 )
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").select(
+    return read_spread(spark, d, "conversations").select(
         "conv_id", "turn",
         tx.composite_key(C("conv_id").cast("string"), C("turn").cast("string")).alias("pair_key"),
         tx.cache_key(C("text"), C("text"), C("role")).alias("cache_key"),
@@ -425,17 +425,20 @@ def _posting_json():
         F.lit(',"baseSalary":{"value":{"minValue":'), (p + 100).cast("string"), F.lit(',"maxValue":'), (p + 200).cast("string"),
         F.lit('}},"description":"'), F.repeat(F.lit("words "), 100), F.lit('","datePosted":"2001-05-0'), n, F.lit('"}'),
     )
-    shaped = (
-        F.when(n == 1, posting)
-        .when(n == 2, F.concat(F.lit("["), posting, F.lit(","), posting, F.lit("]")))
-        .when(n == 3, F.concat(F.lit('{"@graph":['), posting, F.lit(',{"@type":"Organization"}]}')))
-        .when(n == 4, F.concat(posting, F.lit("}{broken")))
-        .when(n == 5, F.lit('{"@type":"Organization","title":"none"}'))
-        .otherwise(F.lit('{"broken": '))
-    )
+
+    def shaped(x):
+        return (
+            F.when(n == 1, x)
+            .when(n == 2, F.concat(F.lit("["), x, F.lit(","), x, F.lit("]")))
+            .when(n == 3, F.concat(F.lit('{"@graph":['), x, F.lit(',{"@type":"Organization"}]}')))
+            .when(n == 4, F.concat(x, F.lit("}{broken")))
+            .when(n == 5, F.lit('{"@type":"Organization","title":"none"}'))
+            .otherwise(F.lit('{"broken": '))
+        )
+
     return F.concat(
-        F.lit('<html><head><script>var x = "JobPosting";</script><script type="application/ld+json">'), shaped,
-        F.lit("</script></head><body><p>Jobs</p></body></html>"),
+        F.lit('<html><head><script>var x = "JobPosting";</script><script type="application/ld+json">'),
+        rules.bind(posting, shaped), F.lit("</script></head><body><p>Jobs</p></body></html>"),
     )
 
 
@@ -451,7 +454,7 @@ def _posting_json():
       'R' || l_orderkey || '-' || l_linenumber AS apply_url, '2001-05-0' || l_linenumber AS posted_date FROM r""",
 )
 def jsonld_postings(spark: SparkSession, d: str) -> DataFrame:
-    pages = read(spark, d, "lineitem").select(
+    pages = read_spread(spark, d, "lineitem").select(
         F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("page_id"),
         F.lit("https://jobs.example.com/all").alias("url"),
         _posting_json().alias("html"),
@@ -463,7 +466,7 @@ def card_pages(spark: SparkSession, d: str) -> DataFrame:
     """One page per order with two cards, a foreign card and a navigation card."""
     key = C("o_orderkey")
     title = F.replace(pick(ad.TITLES, key), F.lit("Back End"), F.lit("Server"))
-    return read(spark, d, "orders").select(
+    return read_spread(spark, d, "orders").select(
         key.alias("page_id"),
         F.lit("https://careers.example.com/list?page=1").alias("url"),
         F.concat(
@@ -507,7 +510,7 @@ def card_postings(spark: SparkSession, d: str) -> DataFrame:
 )
 def page_postings(spark: SparkSession, d: str) -> DataFrame:
     """Both strategies and their cascade over one set of pages: the blocks of an order's items and its cards."""
-    blocks = read(spark, d, "lineitem").select(C("l_orderkey").alias("page_id"), _posting_json().alias("block"))
+    blocks = read_spread(spark, d, "lineitem").select(C("l_orderkey").alias("page_id"), _posting_json().alias("block"))
     pages = card_pages(spark, d).join(
         blocks.groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list("block")), "").alias("blocks")),
         "page_id", "left",
@@ -552,7 +555,7 @@ EXTRA_LINKS = [
 def linked_pages(spark: SparkSession, d: str) -> DataFrame:
     """The pages with some more links at the end."""
     parts = [x for text in EXTRA_LINKS for x in (F.lit(text), C("page_id").cast("string"))][:-1]
-    return read(spark, d, "pages").withColumn("html", F.concat("html", *parts))
+    return read_spread(spark, d, "pages").withColumn("html", F.concat("html", *parts))
 
 
 _LINKED_SQL = " || ".join(x for text in EXTRA_LINKS for x in (ad.sql_text(text), "page_id"))[: -len(" || page_id")]
@@ -621,7 +624,7 @@ def _times(word: str) -> str:
       OR (containers > 3 AND buttons > 3) OR (medium >= 2 AND containers > 2) AS is_listing FROM s""",
 )
 def listing_pages(spark: SparkSession, d: str) -> DataFrame:
-    return pg.is_listing_page(read(spark, d, "pages")).select(
+    return pg.is_listing_page(read_spread(spark, d, "pages")).select(
         "page_id", "strong", "medium", "containers", "buttons", "is_listing"
     )
 
@@ -642,7 +645,7 @@ def api_endpoints(spark: SparkSession, d: str) -> DataFrame:
         .when(n == 2, F.concat(F.lit("<p>https://"), pg.url_host(C("url")), F.lit("/api/jobs</p>")))
         .otherwise(F.lit(""))
     )
-    pages = read(spark, d, "pages").withColumn("html", F.concat("html", script))
+    pages = read_spread(spark, d, "pages").withColumn("html", F.concat("html", script))
     return pages.select("page_id", pg.api_endpoint(C("url"), C("html")).alias("endpoint"))
 
 
@@ -700,7 +703,7 @@ def talks(spark: SparkSession, d: str) -> DataFrame:
     """Conversations whose turns also carry job-search phrases."""
     n = C("conv_id") * 7 + C("turn")
     phrase = F.when(C("role") == "assistant", pick(REPLIES, n)).otherwise(pick(TALK, n))
-    return read(spark, d, "conversations").withColumn("text", F.concat(C("text"), F.lit("\n"), phrase))
+    return read_spread(spark, d, "conversations").withColumn("text", F.concat(C("text"), F.lit("\n"), phrase))
 
 
 TALKS_SQL = f"""talks AS (SELECT conv_id, turn, role, text || chr(10) || CASE WHEN role = 'assistant'

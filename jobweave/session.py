@@ -16,6 +16,8 @@ SESSION_DEFAULTS = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call-site capture costs several round trips per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
@@ -61,3 +63,15 @@ def materialize_once(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a file scan over all cores when the files have fewer splits than that.
+
+    A file with one row group is read by one task, which would also do all the
+    work on its rows. A scan with enough splits is left as it is, so a large
+    table is never shuffled for this. Hashing on ``keys`` needs no sort and
+    gives a repeated task the same rows.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan

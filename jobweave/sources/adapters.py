@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobweave.session import spread
+
 AS_OF = "2001-06-01"
 EVENTS_AS_OF = "2024-01-30"
 
@@ -47,16 +49,24 @@ WORK_MODELS = ["Remote", "Hybrid", "On-site", None]
 VISA_CATEGORIES = ["CPT", "OPT", "H-1B", "US-Only", None]
 WAGE_UNITS = {"1-URGENT": "Hour", "2-HIGH": "Week", "3-MEDIUM": "Bi-Weekly", "4-NOT SPECIFIED": "Month"}
 STATUSES = {"F": "Certified", "O": "Denied", "P": "Withdrawn"}
-SKILLS_BY_LABEL = ["Python", "SQL", "Java", "Spark", "Docker", "Excel", "Kafka", "React", "AWS", "Scala"]
+KEYS = {
+    "lineitem": ["l_orderkey", "l_linenumber"], "orders": ["o_orderkey"], "documents": ["doc_id"], "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"],
+}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table whose rows take much work each."""
+    return spread(read(spark, sf_dir, table), *KEYS[table])
+
+
 def pick(values: list[str | None], index: Column) -> Column:
     """The list entry at ``index`` modulo the length of the list."""
-    slots = F.array(*[F.lit(v).cast("string") for v in values])
+    slots = F.expr(f"array({', '.join(map(sql_text, values))})")
     return F.element_at(slots, (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
@@ -74,7 +84,7 @@ def sql_list(values: list[str]) -> str:
 
 def jobs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scraped postings: one row per line item."""
-    t = read(spark, sf_dir, "lineitem")
+    t = read_spread(spark, sf_dir, "lineitem")
     supp, line = F.col("l_suppkey"), F.col("l_linenumber")
     name = F.format_string("Customer#%09d", supp)
     company = (
