@@ -108,9 +108,9 @@ def employer_intelligence(filings: DataFrame, as_of: str, min_filings: int = 5,
     )
 
 
-def _proper_prefixes(name: Column) -> Column:
-    """All shorter leading parts of ``name``."""
-    return F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda n: F.substring(name, F.lit(1), n))
+def _leading_parts(name: Column, longest: Column) -> Column:
+    """The leading parts of ``name`` of length one up to ``longest``."""
+    return F.transform(F.sequence(F.lit(1), longest), lambda n: F.substring(name, F.lit(1), n))
 
 
 def best_employer_per_company(companies: DataFrame, employers: DataFrame, company: str = "company_key") -> DataFrame:
@@ -131,25 +131,25 @@ def best_employer_per_company(companies: DataFrame, employers: DataFrame, compan
     by_name = employers.filter(F.col("employer_clean") != "").groupBy("employer_clean").agg(best.alias("m"))
     names = companies.filter(F.col(company) != "").select(company).distinct()
 
-    exact = names.join(by_name, F.col(company) == F.col("employer_clean")).select(company, F.lit(1).alias("p"), "m")
-
-    leading = names.filter(F.length(company) > 1).select(company, F.explode(_proper_prefixes(F.col(company))).alias("part"))
+    # the whole name finds an equal employer, a shorter part one that is a prefix
+    key = F.col(company)
+    leading = names.select(company, F.explode(_leading_parts(key, F.length(key))).alias("part"))
     employer_first = leading.join(by_name, F.col("part") == F.col("employer_clean")).select(
-        company, F.lit(2).alias("p"), "m"
+        company, F.when(F.col("part") == key, 1).otherwise(2).alias("p"), "m"
     )
 
-    parts = by_name.filter(F.length("employer_clean") > 1).select(
-        F.explode(_proper_prefixes(F.col("employer_clean"))).alias("part"), "m"
+    clean = F.col("employer_clean")
+    parts = by_name.filter(F.length(clean) > 1).select(
+        F.explode(_leading_parts(clean, F.length(clean) - 1)).alias("part"), "m"
     )
     best_part = parts.groupBy("part").agg(
         F.min_by("m", F.struct(-F.col("m.total_petitions"), F.col("m.employer_clean"), F.col("m.employer_name"))).alias("m")
     )
-    company_first = names.join(best_part, F.col(company) == F.col("part")).select(company, F.lit(3).alias("p"), "m")
+    company_first = names.join(best_part, key == F.col("part")).select(company, F.lit(3).alias("p"), "m")
 
     order = F.struct(F.col("p"), -F.col("m.total_petitions"), F.col("m.employer_clean"), F.col("m.employer_name"))
     return (
-        exact.unionByName(employer_first)
-        .unionByName(company_first)
+        employer_first.unionByName(company_first)
         .groupBy(company)
         .agg(F.min_by(F.struct("p", "m"), order).alias("w"))
         .select(
