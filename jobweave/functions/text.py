@@ -51,7 +51,7 @@ NEW_GRAD_TERMS = ["new grad", "new-grad", "entry level"]
 
 def strip(col: Column) -> Column:
     """Leading and trailing white space of any kind removed; ``trim`` takes blanks only."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(" \t\n\r\f\x0b"))
 
 
 def null_clean(col: Column) -> Column:

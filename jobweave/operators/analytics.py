@@ -25,28 +25,50 @@ def avg_salary(digits: int = 2) -> Column:
     return nm.exact_avg(nm.positive(F.col("salary_min")), digits)
 
 
+def _totals(jobs: DataFrame, company: str, counts: dict[str, Column], companies: str) -> DataFrame:
+    """Totals with two distinct company counts, from one row per company.
+
+    Two distinct counts in one aggregate would copy every row for each of them.
+    Grouping by company first combines on the map side and shuffles one row per
+    company and task.
+    """
+    pay = nm.positive(F.col("salary_min")).cast("decimal(18,2)")
+    per_company = jobs.groupBy(company).agg(
+        *[F.count_if(c).alias(n) for n, c in counts.items()],
+        _rows().alias("total_jobs"),
+        F.bool_or(F.coalesce(F.col("h1b_sponsor"), F.lit(False))).alias("_sponsor"),
+        F.count_if("h1b_sponsor").alias("_sponsored"),
+        F.sum(pay).alias("_pay"),
+        F.count(pay).alias("_paid"),
+    )
+    return per_company.agg(
+        F.sum("total_jobs").alias("total_jobs"),
+        F.count(company).alias(companies),
+        F.count_if(F.col("_sponsor") & F.col(company).isNotNull()).alias("sponsor_companies"),
+        F.sum("_sponsored").alias("sponsored_jobs"),
+        F.round(F.sum("_pay") / F.nullif(F.sum("_paid").cast("decimal(18,0)"), F.lit(0)), 2).cast("double").alias("avg_salary"),
+        *[F.sum(n).alias(n) for n in counts],
+    )
+
+
 def summary(jobs: DataFrame) -> DataFrame:
     """AGG4"""
-    return jobs.agg(
-        _rows().alias("total_jobs"),
-        F.count_distinct("company").alias("total_companies"),
-        F.count_distinct(F.when(F.col("h1b_sponsor"), F.col("company"))).alias("h1b_sponsors"),
-        avg_salary().alias("avg_salary"),
-        F.count_if(F.col("days_since_posted") <= 7).alias("recent_7d"),
+    totals = _totals(jobs, "company", {"recent_7d": F.col("days_since_posted") <= 7}, "total_companies")
+    return totals.select(
+        "total_jobs", "total_companies", F.col("sponsor_companies").alias("h1b_sponsors"), "avg_salary", "recent_7d"
     )
 
 
 def stats(jobs: DataFrame, as_of: str) -> DataFrame:
     """AGG5"""
     today = F.lit(as_of).cast("date")
-    return jobs.agg(
-        _rows().alias("total_jobs"),
-        F.count_distinct("company").alias("unique_companies"),
-        F.count_distinct(F.when(F.col("h1b_sponsor"), F.col("company"))).alias("h1b_sponsors"),
-        F.count_if(F.col("work_model") == "Remote").alias("remote_jobs"),
-        F.count_if(F.col("posted_date") == today).alias("new_today"),
-        F.count_if(F.col("posted_date") >= F.date_sub(today, 7)).alias("new_this_week"),
-        avg_salary().alias("avg_salary"),
+    counts = {
+        "remote_jobs": F.col("work_model") == "Remote",
+        "new_today": F.col("posted_date") == today,
+        "new_this_week": F.col("posted_date") >= F.date_sub(today, 7),
+    }
+    return _totals(jobs, "company", counts, "unique_companies").select(
+        "total_jobs", "unique_companies", F.col("sponsor_companies").alias("h1b_sponsors"), *counts, "avg_salary"
     )
 
 
@@ -54,17 +76,17 @@ def search_stats(jobs: DataFrame, tie_break: list[str]) -> DataFrame:
     """AGG6"""
     latest = latest_per_key(jobs, ["job_id"], ["scraped_at"], tie_break)
     visa, model = F.col("visa_category"), F.col("work_model")
-    return latest.agg(
-        _rows().alias("total_jobs"),
-        F.count_distinct("company_clean").alias("total_companies"),
-        F.count_if(visa == "CPT").alias("cpt_jobs"),
-        F.count_if(visa == "OPT").alias("opt_jobs"),
-        F.count_if(visa == "H-1B").alias("h1b_jobs"),
-        F.count_if("h1b_sponsor").alias("h1b_sponsors"),
-        F.count_if(model == "Remote").alias("remote_jobs"),
-        F.count_if(model == "Hybrid").alias("hybrid_jobs"),
-        F.count_if("is_new_grad_role").alias("new_grad_jobs"),
-        F.count_if("h1b_sponsored_explicit").alias("explicit_sponsors"),
+    counts = {
+        "cpt_jobs": visa == "CPT",
+        "opt_jobs": visa == "OPT",
+        "h1b_jobs": visa == "H-1B",
+        "remote_jobs": model == "Remote",
+        "hybrid_jobs": model == "Hybrid",
+        "new_grad_jobs": F.col("is_new_grad_role"),
+        "explicit_sponsors": F.col("h1b_sponsored_explicit"),
+    }
+    return _totals(latest, "company_clean", counts, "total_companies").select(
+        "total_jobs", "total_companies", F.col("sponsored_jobs").alias("h1b_sponsors"), *counts
     )
 
 
@@ -206,7 +228,7 @@ def top_skills(
     shuffle of documents: counts combine on the map side to one row per skill.
     ``compat`` gives every skill found the count 1.
     """
-    found = df.select(F.explode(rules.skills_in(text, skills, compat)).alias("skill"))
+    found = df.select(F.explode(rules.skills_in(text, skills, compat, ordered=False)).alias("skill"))
     count = F.max(F.lit(1)).cast("long") if compat else _rows()
     return found.groupBy("skill").agg(count.alias("count")).orderBy(F.col("count").desc(), "skill").limit(n)
 

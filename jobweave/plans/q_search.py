@@ -486,6 +486,17 @@ def cosine_topk_blocked(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "jobs_with_embeddings",
+    f"""WITH {JOBS_SQL} SELECT url, vec_id, label, len(embedding) AS dims FROM jobs
+    JOIN embeddings ON CAST(job_id AS BIGINT) = vec_id WHERE embedding IS NOT NULL""",
+)
+def jobs_with_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """JN3"""
+    vectors = read(spark, d, "embeddings").filter(F_("embedding").isNotNull()).withColumn("job_id", F_("vec_id").cast("string"))
+    return jobs_processed(spark, d).join(vectors, "job_id").select("url", "vec_id", "label", F.size("embedding").alias("dims"))
+
+
 @query("embed_documents")
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
     return ve.embed(read_spread(spark, d, "documents").select("doc_id", "text"), F_("text"), 64).select("doc_id", "embedding")

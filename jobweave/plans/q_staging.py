@@ -368,6 +368,21 @@ def upsert_update_columns(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("job_id", "title", "location")
 
 
+@query(
+    "latest_with_raw_columns",
+    f"""WITH {JOBS_RAW_SQL}, l AS (SELECT job_id, source, max(scraped_at) AS newest FROM jobs_raw GROUP BY ALL)
+    SELECT r.url, r.salary_min::DOUBLE AS salary_min FROM l JOIN jobs_raw r ON l.job_id = r.job_id AND l.source = r.source
+    WHERE r.scraped_at = l.newest""",
+)
+def latest_with_raw_columns(spark: SparkSession, d: str) -> DataFrame:
+    """JN4: rows of a key table with columns of the raw table, on both parts of the key."""
+    raw = ad.jobs_raw(spark, d)
+    newest = raw.groupBy("job_id", "source").agg(F.max("scraped_at").alias("newest"))
+    return raw.join(newest, ["job_id", "source"]).filter(F.col("scraped_at") == F.col("newest")).select(
+        "url", F.col("salary_min").cast("double").alias("salary_min")
+    )
+
+
 CACHE_SQL = f"""cache AS (
   SELECT url, visa_category AS cached_category, classification_confidence AS cached_confidence,
     TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY * (_part % 14) AS cached_at FROM jobs WHERE _line < 4)"""

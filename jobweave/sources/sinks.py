@@ -27,7 +27,9 @@ def write_outputs(df: DataFrame, path: str, columns: list[str] = EXPORT_COLUMNS)
     """SNK3: all columns as JSON, a fixed subset as CSV; missing columns are empty."""
     df.write.mode("overwrite").json(f"{path}/json")
     subset = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
-    df.select(*subset).write.mode("overwrite").csv(f"{path}/csv", header=True, quote='"', escape='"')
+    df.select(*subset).write.mode("overwrite").csv(
+        f"{path}/csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def materialize(df: DataFrame, name: str, kind: str = "view", path: str | None = None) -> DataFrame:
