@@ -106,7 +106,8 @@ def jobs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("job_id"),
         F.concat(F.lit("feed_"), "l_returnflag").alias("source"),
         F.concat_ws(
-            "/", F.lit("https://jobs.example.com"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
+            "/", F.lit("https://jobs.example.com"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            (pay * 100).cast("long"),
         ).alias("url"),
         pick(TITLES, F.col("l_partkey")).alias("title"),
         company.alias("company"),
@@ -140,7 +141,8 @@ _SALARY_MIN_SQL = """CAST(CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber
 
 JOBS_RAW_SQL = f"""jobs_raw AS (
   SELECT l_orderkey::VARCHAR AS job_id, 'feed_' || l_returnflag AS source,
-    'https://jobs.example.com/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS url,
+    'https://jobs.example.com/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey
+      || '/' || CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS BIGINT) AS url,
     {sql_pick(TITLES, "l_partkey")} AS title,
     {_COMPANY_SQL} AS company,
     {sql_pick(LOCATIONS, "l_suppkey")} AS location,
