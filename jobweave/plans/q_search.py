@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.functions import rules
 from jobweave.operators import filters as flt
 from jobweave.operators import matching as mt
 from jobweave.operators import search as se

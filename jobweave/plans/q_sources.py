@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobweave import schemas
-from jobweave.operators import conversations as cv
 from jobweave.operators import quality as dq
 from jobweave.operators import staging as st
 from jobweave.plans.q_staging import STAGED_SQL
-from jobweave.plans.q_text import ENTITIES_SQL, INTENT_SQL, STATE_SQL, talks
+from jobweave.plans.q_text import STATE_SQL, talks
 from jobweave.plans.registry import query
 from jobweave.session import new_path
 from jobweave.sources import adapters as ad
