@@ -48,3 +48,33 @@ def copies_removed(documents, span):
         runs = sum(1 for p in range(len(gone)) if gone[p] and (p == 0 or not gone[p - 1]))
         out.append((i, len(text), sum(gone), runs, bytes(b for b, x in zip(text, gone, strict=True) if not x)))
     return out
+
+
+def shingles_of(text, shingle):
+    words = (text or "").encode()
+    words = bytes(b + 32 if 65 <= b <= 90 else b for b in words).split()
+    if len(words) < shingle:
+        return {tuple(words)} if words else set()
+    return {tuple(words[p : p + shingle]) for p in range(len(words) - shingle + 1)}
+
+
+def near_components(documents, shingle=4, percent=80):
+    """{(doc_id, n_shingles, component_id)} of rows (doc_id, text), all pairs compared."""
+    sets = [shingles_of(t, shingle) for _, t in documents]
+    group = list(range(len(sets)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(x & sets[j])
+            if common and 100 * common >= percent * (len(x) + len(sets[j]) - common):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    low = {}
+    for i, (d, _) in enumerate(documents):
+        low[root(i)] = min(low.get(root(i), (2**63, None)), (-(2**63) if d is None else d, d), key=lambda v: v[0])
+    return sorted(((d, len(sets[i]), low[root(i)][1]) for i, (d, _) in enumerate(documents)), key=repr)
