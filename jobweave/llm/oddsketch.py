@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm import grams
 from jobweave.llm.graph import components
 from jobweave.llm.store import id_of, keyed, stored
 
-SAMPLES = 128
-BITS = 512
+#: MinHash values for the bands, and in all for the sketches.
+BANDED, SAMPLES = 128, 256
+BITS = 1024
 #: Rows of a bucket that one task compares: members not yet in the bucket's main component, and others.
 LEFT, RIGHT = 256, 2048
 
@@ -27,7 +28,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 def band_rows(similarity: float) -> int:
     """Most rows a band with which a pair at ``similarity`` is missed less than once in ten million."""
-    fits = [r for r in (1, 2, 4, 8, 16) if (1 - similarity**r) ** (SAMPLES // r) < 1e-7]
+    fits = [r for r in (1, 2, 4, 8, 16) if (1 - similarity**r) ** (BANDED // r) < 1e-7]
     return max(fits)
 
 
@@ -100,7 +101,7 @@ def signatures(batches: Iterator[pa.RecordBatch], shingle: int, rows: int) -> It
                 check[some] = np.add.reduceat(grams.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1])
                 samples = samples_of(sets, starts)
                 keys = []
-                for band in range(SAMPLES // rows):
+                for band in range(BANDED // rows):
                     key = np.full(len(some), band, np.uint64)
                     for j in range(band * rows, (band + 1) * rows):
                         key = grams.mix(key * np.uint64(grams.MULTIPLIERS[0]) + samples[j])
@@ -117,15 +118,23 @@ def signatures(batches: Iterator[pa.RecordBatch], shingle: int, rows: int) -> It
             )
 
 
-def close_enough(a: str, b: str, similarity: float) -> F.Column:
+def odd_bits(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    words = (F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(BITS // 64))
+    return sum(words, F.lit(0))
+
+
+def close_enough(a: str, b: str, similarity: float) -> Column:
     """What a pair of that similarity satisfies: sizes, and odd bits of the XOR of the sketches."""
-    odd = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(BITS // 64)), F.lit(0))
     sizes = F.least(f"{a}.size", f"{b}.size") >= F.lit(similarity) * F.greatest(f"{a}.size", f"{b}.size") - 1e-9
-    return sizes & (odd <= most_differing(similarity))
+    return sizes & (odd_bits(a, b) <= most_differing(similarity))
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of one cell (left rows first, sorted) from different components that the sketches don't rule out."""
+def cross_pairs(batches: Iterator[pa.RecordBatch], similarity: float, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of one cell (left rows first, sorted) from different components that the sketches don't rule out.
+
+    ``nearest``: of each left row and each component only the closest, for a block of right rows.
+    """
     most = most_differing(similarity)
     cell, left = None, []
 
@@ -154,6 +163,13 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
                 a, b = np.nonzero(fits)
                 odd = np.bitwise_count((l_sketch[a] ^ sketch[r][b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
                 a, b, odd = a[odd <= most], b[odd <= most], odd[odd <= most]
+                if nearest:
+                    other = part[r][b]
+                    order = np.lexsort((b, odd, other, a))
+                    a, b, odd, other = a[order], b[order], odd[order], other[order]
+                    first = np.ones(len(a), bool)
+                    first[1:] = (a[1:] != a[:-1]) | (other[1:] != other[:-1])
+                    a, b, odd = a[first], b[first], odd[first]
                 out.append((l_node[a], node[r][b], odd))
         if out:
             yield pa.RecordBatch.from_arrays(
@@ -187,14 +203,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
     """doc_id, n_shingles and component_id of each document, by Jaccard similarity of its word shingles.
 
     Texts with equal sets are one node. Nodes that agree in a band meet in its
-    bucket. First each bucket's members are compared with its smallest member
-    only (a star), by sketch and then on the full sets; that links most of a large
-    group of copies without its pairs. In buckets that still hold several
-    components, what lies outside the main one is compared with the rest, in
-    cells of bounded size; sketches rule out nearly all pairs there, the others
-    are confirmed on the full sets. Every pair of a bucket is thus linked, ruled
-    out or already in one component. Bands miss a pair at the threshold less than
-    once in ten million.
+    bucket. First each bucket's members are compared with one random member only
+    (a star): by sketch, then of any two components the closest pair on its full
+    sets. That joins most of a large group of copies without its pairs. In buckets
+    that still hold several components, what lies outside the main one is compared
+    with the rest, in cells of bounded size: first the closest pairs, then, for
+    what is still apart, all pairs that the sketches don't rule out. Every pair of
+    a bucket is thus linked, ruled out or already in one component. Bands miss a
+    pair at the threshold less than once in ten million.
 
     Documents without words have an empty set and are linked with nothing. A null
     doc_id comes before all others (component_id null). Rows that share a doc_id
@@ -210,23 +226,82 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
         .select("node", "size", "at.key", "at.mark", "bands", "sketch"),
         "nodes",
     )
-    light = nodes.select("node", "size", "sketch")
     banded = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    pivots = (
+        banded.groupBy("bucket")
+        .agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node")).alias("pivot"), F.count("*").alias("n"))
+        .where("n > 1").select("bucket", F.col("pivot.node").alias("pivot"))
+    )
+    shared = stored(banded.join(stored(pivots, "pivots"), "bucket"), "buckets")
+    wanted = stored(nodes.select("node", "key", "mark").join(shared.select("node").distinct(), "node"), "wanted")
+    # equal rows of the input give a text twice
+    texts = stored(documents.join(wanted, ["key", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    light = stored(nodes.select("node", "size", "sketch").join(wanted.select("node"), "node"), "sketches")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = (
+            pairs.select("a", "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
+            .join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        )
+        checked = both.mapInArrow(lambda b: confirm(b, shingle, similarity), "a long, b long, linked boolean")
+        return stored(checked.where("linked").select("a", "b"), "confirmed")
 
     # stars
-    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(banded.join(stored(pivots, "pivots"), "bucket"), "buckets")
     stars = shared.where("node <> pivot").select("node", "pivot").distinct()
-    close = (
+    close = stored(
         stars.join(light.alias("x"), "node")
         .join(light.withColumnRenamed("node", "pivot").alias("y"), "pivot")
         .where(close_enough("x", "y", similarity))
-        .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        .select(F.col("node").alias("a"), F.col("pivot").alias("b"), odd_bits("x", "y").alias("odd")),
+        "stars",
     )
-    confirmed = confirm_pairs(documents, nodes, stored(close, "stars"), shingle, similarity)
-    labels = components(confirmed)
+    first = close.groupBy("a").agg(F.min(F.struct("odd", "b")).alias("best")).select("a", "best.b")
+    links = confirmed(stored(first, "pairs"))
+    labels = components(links)
+    links = links.union(confirmed(closest(close, labels)))
+    labels = components(links)
 
     # what the stars left open
+    for nearest in (True, False):
+        crossing = cross_component_pairs(shared, labels, light, similarity, nearest)
+        links = links.union(confirmed(closest(crossing, labels) if nearest else crossing))
+        labels = components(links)
+
+    smallest = (
+        nodes.select("node", "key").join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
+        .agg(F.min("key").alias("smallest"))
+    )
+    member_of = stored(
+        nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        .join(stored(smallest, "smallest"), "component").select("node", "smallest"),
+        "member-of",
+    )
+    out = signed.select("key", "size", "node").join(member_of, "node", "left")
+    component = F.when(F.col("size") > 0, F.col("smallest")).otherwise(F.col("key"))
+    return out.select(
+        id_of(F.col("key")).alias("doc_id"), F.col("size").alias("n_shingles"), id_of(component).alias("component_id"),
+        (F.col("key") == component).alias("kept"),
+    )
+
+
+def closest(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of any two components the pair (a, b) whose sketches differ least."""
+    ends = [
+        labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")) for side in ("a", "b")
+    ]
+    of_a, of_b = F.coalesce("of_a", "a"), F.coalesce("of_b", "b")
+    return stored(
+        pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(of_a != of_b)
+        .groupBy(F.least(of_a, of_b), F.greatest(of_a, of_b)).agg(F.min(F.struct("odd", "a", "b")).alias("best"))
+        .select("best.a", "best.b"),
+        "pairs",
+    )
+
+
+def cross_component_pairs(
+    shared: DataFrame, labels: DataFrame, light: DataFrame, similarity: float, nearest: bool
+) -> DataFrame:
+    """Pairs (a, b, odd) that meet in a bucket, lie in different components and are close by sketch."""
     labelled = shared.join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
@@ -258,50 +333,6 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
     order = ["bucket", "i", "j"]
     found = (
         lefts.unionByName(rights).repartition(*order).sortWithinPartitions(*order, "side")
-        .mapInArrow(lambda b: cross_pairs(b, similarity), "a long, b long, odd long")
-    )
-    crossing = stored(found.groupBy("a", "b").agg(F.min("odd").alias("odd")), "crossing")
-    # the closest partner of each node first: it often settles the others
-    nearest = crossing.groupBy("a").agg(F.min(F.struct("odd", "b")).alias("best")).select("a", "best.b")
-    confirmed = confirmed.union(confirm_pairs(documents, nodes, stored(nearest, "nearest"), shingle, similarity))
-    labels = components(confirmed)
-    ends = labels.select(F.col("node").alias("a"), F.col("component").alias("of_a")), labels.select(
-        F.col("node").alias("b"), F.col("component").alias("of_b")
-    )
-    rest = stored(
-        crossing.join(nearest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-        .where("not (of_a <=> of_b) or of_a is null").select("a", "b"),
-        "rest",
-    )
-    confirmed = confirmed.union(confirm_pairs(documents, nodes, rest, shingle, similarity))
-    labels = components(confirmed)
-
-    smallest = (
-        nodes.select("node", "key").join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
-        .agg(F.min("key").alias("smallest"))
-    )
-    member_of = stored(
-        nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        .join(stored(smallest, "smallest"), "component").select("node", "smallest"),
-        "member-of",
-    )
-    out = signed.select("key", "size", "node").join(member_of, "node", "left")
-    component = F.when(F.col("size") > 0, F.col("smallest")).otherwise(F.col("key"))
-    return out.select(
-        id_of(F.col("key")).alias("doc_id"), F.col("size").alias("n_shingles"), id_of(component).alias("component_id"),
-        (F.col("key") == component).alias("kept"),
-    )
-
-
-def confirm_pairs(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of nodes (a, b) whose full sets are similar enough, from the texts of one document each."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keys = stored(nodes.select("node", "key", "mark").join(wanted, "node"), "wanted")
-    # equal rows of the input give a text twice
-    texts = stored(documents.join(keys, ["key", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    both = (
-        pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
-        .join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        .mapInArrow(lambda b: cross_pairs(b, similarity, nearest), "a long, b long, odd long")
     )
-    checked = both.mapInArrow(lambda b: confirm(b, shingle, similarity), "a long, b long, linked boolean")
-    return stored(checked.where("linked").select("a", "b").distinct(), "confirmed")
+    return stored(found.groupBy("a", "b").agg(F.min("odd").alias("odd")), "crossing")
