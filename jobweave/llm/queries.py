@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["q_dedup"]
+FAMILIES = ["q_dedup", "q_classify"]
 
 for family in FAMILIES:
     importlib.import_module(f"jobweave.llm.{family}")
