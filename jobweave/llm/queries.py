@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["q_dedup", "q_classify", "q_native"]
+FAMILIES = ["q_dedup", "q_classify", "q_native", "q_format"]
 
 for family in FAMILIES:
     importlib.import_module(f"jobweave.llm.{family}")
