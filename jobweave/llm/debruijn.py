@@ -109,10 +109,10 @@ def kept_words(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Reco
         span_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                batch.column("key"), batch.column("mark"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                 pa.array(spans, span_type), pa.array(kept, pa.binary()).cast(pa.string()),
             ],
-            names=["key", "n_words", "n_removed", "spans", "kept"],
+            names=["key", "mark", "n_words", "n_removed", "spans", "kept"],
         )
 
 
@@ -120,8 +120,8 @@ def remove_repeated_spans(documents: DataFrame, span: int = SPAN, gram: int = GR
     """Documents without the words of every ``span``-word window that starts anywhere else too.
 
     Returns doc_id, n_words, n_removed, spans (first and end word of each removed
-    stretch) and kept (the other words, joined by one space), one row per input
-    row. Words are separated by ASCII white space. Windows are judged on the
+    stretch), kept (the other words, joined by one space) and the mark of the text
+    (see ``keyed``), one row per input row. Words are separated by ASCII white space. Windows are judged on the
     input: of two copies both go.
 
     Null and empty texts have no words and an empty ``kept``. A null doc_id is an
@@ -131,6 +131,6 @@ def remove_repeated_spans(documents: DataFrame, span: int = SPAN, gram: int = GR
     """
     documents = keyed(documents)
     rows = repeated_paths(documents, span, gram)
-    schema = "key long, n_words long, n_removed long, spans array<struct<first: long, end: long>>, kept string"
+    schema = "key long, mark int, n_words long, n_removed long, spans array<struct<first: long, end: long>>, kept string"
     out = gathered(documents, rows, lambda b: kept_words(b, span), schema)
-    return out.select(id_of(F.col("key")).alias("doc_id"), "n_words", "n_removed", "spans", "kept")
+    return out.select(id_of(F.col("key")).alias("doc_id"), "n_words", "n_removed", "spans", "kept", "mark")

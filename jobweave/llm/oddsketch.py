@@ -200,7 +200,9 @@ def confirm(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float)
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document, by Jaccard similarity of its word shingles.
+    """doc_id, n_shingles, component_id and kept of each document, by Jaccard similarity of its word shingles.
+
+    Last comes the mark of the text (see ``keyed``), for joining back.
 
     Texts with equal sets are one node. Nodes that agree in a band meet in its
     bucket. First each bucket's members are compared with one random member only
@@ -276,11 +278,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
         .join(stored(smallest, "smallest"), "component").select("node", "smallest"),
         "member-of",
     )
-    out = signed.select("key", "size", "node").join(member_of, "node", "left")
+    out = signed.select("key", "mark", "size", "node").join(member_of, "node", "left")
     component = F.when(F.col("size") > 0, F.col("smallest")).otherwise(F.col("key"))
     return out.select(
         id_of(F.col("key")).alias("doc_id"), F.col("size").alias("n_shingles"), id_of(component).alias("component_id"),
-        (F.col("key") == component).alias("kept"),
+        (F.col("key") == component).alias("kept"), "mark",
     )
 
 

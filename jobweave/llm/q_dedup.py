@@ -28,4 +28,4 @@ def op10_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_odd_sketch_dedup")
 def op5_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, similarity=0.8)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, similarity=0.8).drop("mark")

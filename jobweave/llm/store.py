@@ -28,6 +28,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark_of(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(0xFFFF).cast("int")
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     """Key, mark of the text and text of each document; all other columns are left out.
 
@@ -36,7 +40,7 @@ def keyed(documents: DataFrame) -> DataFrame:
     """
     return documents.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFF).cast("int").alias("mark"),
+        mark_of("text").alias("mark"),
         F.col("text").cast("string").alias("text"),
     )
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.labelled import fit_logistic, held_out, logistic, training_sample
@@ -146,5 +147,18 @@ def toxicity(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, l
     return out.mapInArrow(lambda b: scores_of(b, model), "key long, mark int, held_out boolean, score double")
 
 
-def held_out_key():
+def toxic_score(model: Model) -> Callable[[Column], Column]:
+    """Score of a text column; one set of dictionaries a task."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        distances, weights = Distances(model), np.array(model.weights)
+        for part in texts:
+            x = np.array([distances.highest(t) for t in part], float).reshape(len(part), TOP)
+            yield pd.Series(logistic(x, weights))
+
+    return score
+
+
+def held_out_key() -> Column:
     return F.when(F.col("key") == -(2**63), F.lit(True)).otherwise(held_out("key"))

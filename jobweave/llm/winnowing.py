@@ -131,7 +131,7 @@ def hit_windows(documents: DataFrame, benchmark: DataFrame, window: int, gram: i
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids of the items found, sorted as strings) and contaminated, per document.
+    """doc_id, n_words, n_hit, items (ids of the items found, sorted as strings), the mark of the text and contaminated, per document.
 
     A window is ``window`` neighbouring words of an item; an item of fewer words
     is one window. Of each window the smallest hash of ``gram`` words is kept, for
@@ -167,6 +167,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     sizes = documents.select("key", "mark", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = sizes.join(found, ["key", "mark"], "left").select(
         id_of(F.col("key")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "mark",
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
