@@ -14,14 +14,14 @@ from jobweave.llm import grams
 from jobweave.llm.graph import components
 from jobweave.llm.store import id_of, keyed, stored
 
-#: MinHash values for the bands, and in all for the sketches.
-BANDED, SAMPLES = 128, 256
-BITS = 1024
+#: MinHash values for the bands, and for the sketches of texts that share a band with another.
+BANDED, SAMPLES = 128, 1024
+BITS = 2048
 #: Rows of a bucket that one task compares: members not yet in the bucket's main component, and others.
 LEFT, RIGHT = 256, 2048
 
 _RNG = np.random.Generator(np.random.PCG64(77))
-FACTORS = _RNG.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = _RNG.integers(1, 2**63, 2 * SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -33,12 +33,12 @@ def band_rows(similarity: float) -> int:
 
 
 def most_differing(similarity: float) -> int:
-    """Differing bits that a pair at ``similarity`` does not exceed, by six standard deviations.
+    """Differing bits that a pair at ``similarity`` does not exceed, by five standard deviations.
 
     With d of the samples differing, 2 d bits are toggled at random places of the
     bitmap, so about BITS / 2 * (1 - exp(-4 d / BITS)) end up odd.
     """
-    d = SAMPLES * (1 - similarity) + 6 * math.sqrt(SAMPLES * similarity * (1 - similarity))
+    d = SAMPLES * (1 - similarity) + 5 * math.sqrt(SAMPLES * similarity * (1 - similarity))
     return math.ceil(BITS / 2 * (1 - math.exp(-4 * min(d, SAMPLES) / BITS)) + 3 * math.sqrt(BITS) / 4)
 
 
@@ -63,11 +63,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[n
     return found, np.searchsorted(document, np.arange(len(sizes) + 1))
 
 
-def samples_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def samples_of(sets: np.ndarray, offsets: np.ndarray, count: int = SAMPLES) -> np.ndarray:
     """MinHash values, a row per sample and a column per (not empty) set."""
-    out = np.empty((SAMPLES, len(offsets) - 1), np.uint64)
+    out = np.empty((count, len(offsets) - 1), np.uint64)
     scratch = np.empty_like(sets)
-    for j, factor in enumerate(FACTORS):
+    for j, factor in enumerate(FACTORS[:count]):
         np.multiply(sets, factor, out=scratch)
         np.minimum.reduceat(scratch, offsets[:-1], out=out[j])
     return out
@@ -75,7 +75,7 @@ def samples_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def sketches_of(samples: np.ndarray) -> np.ndarray:
     """Odd sketches: sample j with value v toggles one bit, chosen by a hash of (j, v)."""
-    chosen = grams.mix(samples + FACTORS[:, None]) % np.uint64(BITS)
+    chosen = grams.mix(samples + FACTORS[-len(samples) :, None]) % np.uint64(BITS)
     n = samples.shape[1]
     bits = np.zeros((n, BITS), np.uint8)
     for row in chosen.astype(np.int64):
@@ -83,38 +83,54 @@ def sketches_of(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def sets_in(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows [lo, hi) of a text column, their sets and the sets' offsets."""
+    data, offsets = grams.text_bytes(column)
+    for lo, hi in grams.groups_of(np.diff(offsets), grams.BLOCK):
+        yield lo, hi, *shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
+
+
 def signatures(batches: Iterator[pa.RecordBatch], shingle: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Per document: size and 128-bit identity of its set, band keys and sketch (both null for an empty set)."""
+    """Per document: size and 128-bit identity of its set, and band keys (null for an empty set)."""
     for batch in batches:
-        data, offsets = grams.text_bytes(batch.column("text"))
-        for lo, hi in grams.groups_of(np.diff(offsets), grams.BLOCK):
-            part, local = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            sets, bounds = shingle_sets(part, local, shingle)
+        for lo, hi, sets, bounds in sets_in(batch.column("text"), shingle):
             size = np.diff(bounds)
             some = np.flatnonzero(size)
             identity, check = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
             bands: list = [None] * (hi - lo)
-            sketches: list = [None] * (hi - lo)
             if len(some):
                 starts = np.append(bounds[some], len(sets))
                 identity[some] = grams.mix(np.add.reduceat(grams.mix(sets), starts[:-1]) + size[some].astype(np.uint64))
                 check[some] = np.add.reduceat(grams.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1])
-                samples = samples_of(sets, starts)
+                samples = samples_of(sets, starts, BANDED)
                 keys = []
                 for band in range(BANDED // rows):
                     key = np.full(len(some), band, np.uint64)
                     for j in range(band * rows, (band + 1) * rows):
                         key = grams.mix(key * np.uint64(grams.MULTIPLIERS[0]) + samples[j])
                     keys.append(key.view(np.int64))
-                for i, b, s in zip(some, np.stack(keys, axis=1), sketches_of(samples), strict=True):
-                    bands[i], sketches[i] = b, s
+                for i, b in zip(some, np.stack(keys, axis=1), strict=True):
+                    bands[i] = b
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key")[lo:hi], batch.column("mark")[lo:hi], pa.array(size.astype(np.int64)),
+                    pa.array(identity.view(np.int64)), pa.array(check.view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
+                ],
+                names=["key", "mark", "size", "node", "check", "bands"],
+            )
+
+
+def sketched(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Size of the set, sketch and bands of each node, from its (not empty) text."""
+    for batch in batches:
+        for lo, hi, sets, bounds in sets_in(batch.column("text"), shingle):
+            found = sketches_of(samples_of(sets, bounds))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key")[lo:hi], batch.column("mark")[lo:hi], pa.array(size.astype(np.int64)), pa.array(identity.view(np.int64)),
-                    pa.array(check.view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(sketches, pa.list_(pa.int64())),
+                    batch.column("node")[lo:hi], pa.array(np.diff(bounds)), pa.array(list(found), pa.list_(pa.int64())),
+                    batch.column("bands")[lo:hi],
                 ],
-                names=["key", "mark", "size", "node", "check", "bands", "sketch"],
+                names=["node", "size", "sketch", "bands"],
             )
 
 
@@ -133,7 +149,9 @@ def close_enough(a: str, b: str, similarity: float) -> Column:
 def cross_pairs(batches: Iterator[pa.RecordBatch], similarity: float, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of one cell (left rows first, sorted) from different components that the sketches don't rule out.
 
-    ``nearest``: of each left row and each component only the closest, for a block of right rows.
+    ``nearest``: of each left row and each component only the closest, for a block
+    of right rows. Otherwise a pair is given in the first bucket that it shares,
+    not in the others.
     """
     most = most_differing(similarity)
     cell, left = None, []
@@ -143,7 +161,7 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], similarity: float, nearest: b
         side = batch.column("side").to_numpy()
         node, part, size = (batch.column(c).to_numpy() for c in ("node", "component", "size"))
         core = batch.column("core").to_numpy(zero_copy_only=False)
-        sketch = batch.column("sketch").flatten().to_numpy().reshape(len(batch), -1)
+        sketch, bands = (batch.column(c).flatten().to_numpy().reshape(len(batch), -1) for c in ("sketch", "bands"))
         cuts = np.flatnonzero((np.diff(cells, axis=0) != 0).any(axis=1)) + 1
         out = []
         for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(batch)), strict=True):
@@ -151,10 +169,10 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], similarity: float, nearest: b
                 cell, left = cells[lo].copy(), []
             middle = lo + int((side[lo:hi] == 0).sum())
             if middle > lo:
-                left.append((node[lo:middle], part[lo:middle], size[lo:middle], sketch[lo:middle]))
+                left.append(tuple(x[lo:middle] for x in (node, part, size, sketch, bands)))
             if middle == hi or not left:
                 continue
-            l_node, l_part, l_size, l_sketch = (np.concatenate(x) for x in zip(*left, strict=True))
+            l_node, l_part, l_size, l_sketch, l_bands = (np.concatenate(x) for x in zip(*left, strict=True))
             for start in range(middle, hi, RIGHT):
                 r = slice(start, min(hi, start + RIGHT))
                 fits = (l_part[:, None] != part[r]) & (core[r] | (l_node[:, None] < node[r]))
@@ -163,7 +181,11 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], similarity: float, nearest: b
                 a, b = np.nonzero(fits)
                 odd = np.bitwise_count((l_sketch[a] ^ sketch[r][b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
                 a, b, odd = a[odd <= most], b[odd <= most], odd[odd <= most]
-                if nearest:
+                if not nearest:
+                    shared = (l_bands[a] == bands[r][b]).argmax(axis=1)
+                    here = l_bands[a, shared] == cells[lo, 0]
+                    a, b, odd = a[here], b[here], odd[here]
+                else:
                     other = part[r][b]
                     order = np.lexsort((b, odd, other, a))
                     a, b, odd, other = a[order], b[order], odd[order], other[order]
@@ -183,11 +205,9 @@ def confirm(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float)
     for batch in batches:
         sets = []
         for column in ("text_a", "text_b"):
-            data, offsets = grams.text_bytes(batch.column(column))
             sets.append([
-                (found[bounds[i] : bounds[i + 1]])
-                for lo, hi in grams.groups_of(np.diff(offsets), grams.BLOCK)
-                for found, bounds in [shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)]
+                found[bounds[i] : bounds[i + 1]]
+                for lo, hi, found, bounds in sets_in(batch.column(column), shingle)
                 for i in range(hi - lo)
             ])
         linked = []
@@ -220,12 +240,12 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
     """
     documents = keyed(documents)
     rows = band_rows(similarity)
-    schema = "key long, mark int, size long, node long, check long, bands array<long>, sketch array<long>"
+    schema = "key long, mark int, size long, node long, check long, bands array<long>"
     signed = stored(documents.mapInArrow(lambda b: signatures(b, shingle, rows), schema), "signatures")
     nodes = stored(
         signed.where("size > 0").groupBy("node", "size", "check")
-        .agg(F.min(F.struct("key", "mark")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .select("node", "size", "at.key", "at.mark", "bands", "sketch"),
+        .agg(F.min(F.struct("key", "mark")).alias("at"), F.first("bands").alias("bands"))
+        .select("node", "size", "at.key", "at.mark", "bands"),
         "nodes",
     )
     banded = nodes.select("node", "size", F.explode("bands").alias("bucket"))
@@ -235,10 +255,19 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
         .where("n > 1").select("bucket", F.col("pivot.node").alias("pivot"))
     )
     shared = stored(banded.join(stored(pivots, "pivots"), "bucket"), "buckets")
-    wanted = stored(nodes.select("node", "key", "mark").join(shared.select("node").distinct(), "node"), "wanted")
-    # equal rows of the input give a text twice
-    texts = stored(documents.join(wanted, ["key", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    light = stored(nodes.select("node", "size", "sketch").join(wanted.select("node"), "node"), "sketches")
+    wanted = stored(
+        nodes.select("node", "key", "mark", "bands").join(shared.select("node").distinct(), "node"), "wanted"
+    )
+    # equal rows of the input give a text twice; the same kind of join whatever the sizes
+    texts = stored(
+        documents.join(wanted.hint("merge"), ["key", "mark"]).groupBy("node")
+        .agg(F.first("text").alias("text"), F.first("bands").alias("bands")),
+        "texts",
+    )
+    light = stored(
+        texts.mapInArrow(lambda b: sketched(b, shingle), "node long, size long, sketch array<long>, bands array<long>"), "sketches"
+    )
+    texts = texts.drop("bands")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = (
@@ -251,8 +280,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
     # stars
     stars = shared.where("node <> pivot").select("node", "pivot").distinct()
     close = stored(
-        stars.join(light.alias("x"), "node")
-        .join(light.withColumnRenamed("node", "pivot").alias("y"), "pivot")
+        stars.join(light.drop("bands").alias("x"), "node")
+        .join(light.drop("bands").withColumnRenamed("node", "pivot").alias("y"), "pivot")
         .where(close_enough("x", "y", similarity))
         .select(F.col("node").alias("a"), F.col("pivot").alias("b"), odd_bits("x", "y").alias("odd")),
         "stars",
@@ -323,7 +352,7 @@ def cross_component_pairs(
         "members",
     )
     spot = F.xxhash64("node")
-    columns = ["bucket", "node", "component", "core", "size", "sketch"]
+    columns = ["bucket", "node", "component", "core", "size", "sketch", "bands"]
     lefts = members.where("not core").select(
         *columns, F.lit(0).alias("side"), F.pmod(spot, "lefts").alias("i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"),
