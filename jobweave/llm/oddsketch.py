@@ -15,8 +15,8 @@ from jobweave.llm.graph import components
 from jobweave.llm.store import id_of, keyed, stored
 
 #: MinHash values for the bands, and for the sketches of texts that share a band with another.
-BANDED, SAMPLES = 128, 1024
-BITS = 2048
+BANDED, SAMPLES = 128, 2048
+BITS = 4096
 #: Rows of a bucket that one task compares: members not yet in the bucket's main component, and others.
 LEFT, RIGHT = 256, 2048
 
