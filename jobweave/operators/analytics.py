@@ -325,21 +325,26 @@ def scrape_run_metadata(rows: DataFrame, run: str, category: str, categories: li
     """AGG27: one row per scrape run with its category breakdown.
 
     ``categories`` lists all categories a run should cover; those without rows
-    count as empty. The breakdown holds one entry per category.
+    count as empty. The breakdown holds one entry per listed category; the total
+    counts all rows, also those of other categories or none.
     """
+    totals = rows.groupBy(F.col(run).alias("run")).agg(_rows().alias("total_jobs"))
     counts = rows.groupBy(F.col(run).alias("run"), F.col(category).alias("category")).agg(_rows().alias("job_count"))
     if categories is not None:
         grid = counts.select("run").distinct().withColumn("category", F.explode(F.array(*map(F.lit, categories))))
         counts = grid.join(counts, ["run", "category"], "left").fillna(0, ["job_count"])
     active = F.count_if(F.col("job_count") > 0)
-    return counts.groupBy("run").agg(
-        F.sum("job_count").alias("total_jobs"),
+    by_category = counts.groupBy("run").agg(
         _rows().alias("total_categories"),
         active.alias("categories_with_jobs"),
         nm.percent(active, _rows(), 1).alias("coverage_pct"),
-        nm.ratio(F.sum("job_count"), F.greatest(active, F.lit(1)), 1).alias("avg_jobs_per_category"),
         F.sort_array(F.collect_list(F.struct("category", "job_count"))).alias("category_breakdown"),
     )
+    return by_category.join(totals, by_category["run"].eqNullSafe(totals["run"])).select(
+        by_category["run"], "total_jobs", "total_categories", "categories_with_jobs", "coverage_pct",
+        nm.ratio(F.col("total_jobs"), F.greatest("categories_with_jobs", F.lit(1)), 1).alias("avg_jobs_per_category"),
+        "category_breakdown",
+    )
 
 
 def query_log_metrics(log: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions.text import strip
@@ -49,8 +49,6 @@ NAME_NOISE = ["**", "Inc.", "LLC", "d/b/a"]
 ENTITY_TYPES = ["companies", "locations", "job_titles"]
 KEEP = 5
 MAX_TURNS = 10
-# Turns of one conversation that a single task folds in one go.
-CHUNK_TURNS = 1_000_000
 
 
 def _words(alternatives: str) -> str:
@@ -123,14 +121,16 @@ def _fold(keep: int):
     return run
 
 
-def conversation_state(turns: DataFrame, keep: int = KEEP, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+def conversation_state(turns: DataFrame, keep: int = KEEP, chunk_turns: int | None = None) -> DataFrame:
     """TXT9: state after each user turn, and the last company and place before it.
 
     Entities and intents are extracted row by row, in parallel; only these few
     names are shuffled and sorted. The fold is sequential by nature, so it
-    streams over sorted rows and holds one state. A conversation longer than
-    ``chunk_turns`` is folded piece by piece: each piece is a task of bounded
-    size that starts from the written end state of the piece before.
+    streams over sorted rows and holds one state, whatever the length. With
+    ``chunk_turns`` all conversations are folded in pieces of that many user
+    turns, by their rank: each piece starts from the written end state of the
+    piece before, so that a lost task repeats a piece only. Turns without a number
+    come first.
     """
     text = F.col("text")
     compact = turns.filter(F.col("role") == "user").select(
@@ -147,13 +147,14 @@ def conversation_state(turns: DataFrame, keep: int = KEEP, chunk_turns: int = CH
     def fold(rows: DataFrame) -> DataFrame:
         return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(_fold(keep), schema)
 
-    longest = turns.agg(F.max("turn")).first()[0] or 0
-    if longest < chunk_turns:
+    if chunk_turns is None:
         return fold(compact.withColumns(starts)).drop("_seen")
 
-    compact = materialize_once(compact.withColumn("_chunk", F.floor(F.col("turn") / chunk_turns)), "conversation-mentions")
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    compact = materialize_once(compact.withColumn("_chunk", F.floor((rank - 1) / chunk_turns)), "conversation-mentions")
+    last = compact.agg(F.max("_chunk")).first()[0] or 0
     pieces, carry = [], None
-    for chunk in range(int(longest // chunk_turns) + 1):
+    for chunk in range(int(last) + 1):
         rows = compact.filter(F.col("_chunk") == chunk).drop("_chunk")
         if carry is None:
             rows = rows.withColumns(starts)

@@ -78,12 +78,12 @@ def keyword_search(
     expansions: list[str] | None = None,
     locations: list[str] | None = None,
 ) -> Column:
-    """FLT1: the term in any column; with expansions, any of eight in the title instead."""
+    """FLT1: the term in any column; with expansions, any of them in the title instead."""
     hit = any_of([contains_any(F.col(c), [term]) for c in columns])
     if expansions:
-        hit = contains_any(F.col("title"), expansions[:8])
+        hit = contains_any(F.col("title"), expansions)
     if locations:
-        hit = hit & contains_any(F.col("location"), locations[:3])
+        hit = hit & contains_any(F.col("location"), locations)
     return hit
 
 

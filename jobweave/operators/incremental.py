@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions import rules
-from jobweave.operators.staging import latest_per_key
+from jobweave.operators.staging import latest_per_key, top_per_key
 
 
 def new_keys(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,8 +72,9 @@ def cache_lookup(items: DataFrame, cache: DataFrame, key: str, as_of: str, ttl_d
 
 
 def cache_upsert(cache: DataFrame, answers: DataFrame, key: str, as_of: str) -> DataFrame:
-    """INC4: the cache after storing new answers, one per key."""
-    stamped = answers.withColumn("cached_at", F.lit(as_of).cast("timestamp_ntz"))
+    """INC4: the cache after storing new answers, one per key (of several the one that sorts last)."""
+    others = [F.col(c).desc_nulls_last() for c in answers.columns if c != key]
+    stamped = top_per_key(answers, [key], others or [F.col(key)]).withColumn("cached_at", F.lit(as_of).cast("timestamp_ntz"))
     old = cache.join(stamped.select(key), key, "left_anti")
     return old.unionByName(stamped.select(*cache.columns))
 
@@ -97,17 +98,25 @@ def update_unclassified(jobs: DataFrame, as_of: str, **flags: Column) -> DataFra
     """INC5: rows without a visa class get one; the others stay as they are.
 
     Classified rows are not touched by the keyword rules: the expressions sit
-    behind the test for a missing class.
+    behind the test for a missing class. A row for which the rules find nothing
+    ("Unknown") stays open, so that a later run tries it again.
     """
-    todo = F.col("visa_category").isNull() | (F.col("visa_category") == "")
-    answer = F.when(todo, rules.classify_visa(F.concat_ws(" ", "title", "description"), **flags))
+    missing = F.col("visa_category").isNull() | (F.col("visa_category") == "")
+    answer = F.when(missing, rules.classify_visa(F.concat_ws(" ", "title", "description"), **flags))
+    todo = F.coalesce(F.col("_answer.visa_category") != "Unknown", F.lit(False))
+
+    def stored(column: str, kind: str) -> Column:
+        return F.col(column) if column in jobs.columns else F.lit(None).cast(kind)
+
     merged = {
         "visa_category": F.when(todo, F.col("_answer.visa_category")).otherwise(F.col("visa_category")),
         "classification_confidence": F.when(todo, F.col("_answer.confidence")).otherwise(
             F.col("classification_confidence")
         ),
-        "classification_signals": F.col("_answer.signals"),
-        "classified_at": F.when(todo, F.lit(as_of).cast("timestamp_ntz")),
+        "classification_signals": F.when(todo, F.col("_answer.signals")).otherwise(
+            stored("classification_signals", "array<string>")
+        ),
+        "classified_at": F.when(todo, F.lit(as_of).cast("timestamp_ntz")).otherwise(stored("classified_at", "timestamp_ntz")),
     }
     # all at once: each of them tests the stored class
     return jobs.withColumn("_answer", answer).withColumns(merged).drop("_answer")

@@ -37,7 +37,7 @@ def relevance_score(resume_skills: list[str] | None = None) -> Column:
         + _points((F.col("salary_min").isNotNull(), 2))
         + _points((days <= 7, 5), (days <= 30, 2))
     )
-    for skill in (resume_skills or [])[:10]:
+    for skill in resume_skills or []:
         score = score + _points((_in_any(skill, SKILL_COLUMNS), 20))
     return score
 
@@ -75,7 +75,7 @@ def strict_filters(c: SearchCriteria) -> Column:
     if c.titles:
         ok = ok & flt.contains_any(F.col("title"), [t for t in c.titles if t])
     if c.companies:
-        ok = ok & flt.multi_contains("company_clean", c.companies[:15])
+        ok = ok & flt.multi_contains("company_clean", c.companies)
     if c.location:
         ok = ok & flt.contains_any(F.col("location"), [c.location])
     if c.visa_category in VISA_LABELS:
@@ -115,7 +115,7 @@ def search_jobs(jobs: DataFrame, c: SearchCriteria, tie_break: str = "url", keep
         "relevance_score", relevance_score(c.resume_skills)
     )
     order = [F.col("relevance_score").desc(), F.col("days_since_posted").asc_nulls_last(), F.col(tie_break).asc()]
-    return near_dedup(scored, order).orderBy(*order).limit(min(c.limit, 100))
+    return near_dedup(scored, order).orderBy(*order).limit(c.limit)
 
 
 @dataclass
@@ -168,9 +168,9 @@ def order_jobs(df: DataFrame, mode: str, limit: int = 50, tie_break: str = "url"
 
 
 def page(df: DataFrame, order: list[Column], limit: int = 50) -> DataFrame:
-    """SRT2: one page of at most 500 rows, each with the total match count."""
+    """SRT2: one page of ``limit`` rows, each with the total match count."""
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return df.orderBy(*order).limit(min(limit, 500)).withColumn("total", total)
+    return df.orderBy(*order).limit(limit).withColumn("total", total)
 
 
 def resume_match_pct(skills: list[str], columns: list[str] = SKILL_COLUMNS) -> Column:
@@ -216,7 +216,7 @@ def similar_items(
 ) -> DataFrame:
     """VEC10: other postings with the role or one of three skills, newest first."""
     parts = [flt.contains_any(F.col("title"), [role])] if role else []
-    parts += [flt.contains_any(F.col("description"), [s]) for s in skills[:3]]
+    parts += [flt.contains_any(F.col("description"), [s]) for s in skills]
     similar = any_of(parts) if parts else F.lit(True)
     return (
         jobs.filter(similar & (F.col("job_id") != job_id))
@@ -227,7 +227,7 @@ def similar_items(
 
 def skill_term_score(terms: list[str]) -> Column:
     """VEC4: how many of the first ten terms the posting names."""
-    return sum((_in_any(t, SKILL_COLUMNS).cast("int") for t in terms[:10]), F.lit(0))
+    return sum((_in_any(t, SKILL_COLUMNS).cast("int") for t in terms), F.lit(0))
 
 
 def search_by_terms(

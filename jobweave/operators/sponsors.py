@@ -321,7 +321,7 @@ def compare_companies(intelligence: DataFrame, companies: list[str]) -> DataFram
     Only the first two rows are compared, through a two-row top-k, so nothing
     is sorted or ranked in one task.
     """
-    rows = intelligence.filter(any_of([F.col("employer_clean").contains(c.upper()) for c in companies[:3]])).withColumn(
+    rows = intelligence.filter(any_of([F.col("employer_clean").contains(c.upper()) for c in companies])).withColumn(
         "real_approval_rate", nm.percent(F.col("total_certified"), F.col("total_filings"), 2)
     )
     order = [F.col("sponsorship_score").desc(), F.col("employer_original").asc()]

@@ -474,12 +474,13 @@ def status_distribution(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {JOBS_SQL}, runs AS (SELECT DISTINCT source FROM jobs),
       cats AS (SELECT unnest(['Remote', 'Hybrid', 'On-site', 'Field']) AS category),
       c AS (SELECT r.source, category, count(url) AS n FROM runs r CROSS JOIN cats
-        LEFT JOIN jobs j ON j.source = r.source AND work_model = category GROUP BY 1, 2)
-    SELECT source AS run, sum(n)::BIGINT AS total_jobs, count(*) AS total_categories,
+        LEFT JOIN jobs j ON j.source = r.source AND work_model = category GROUP BY 1, 2),
+      a AS (SELECT source, count(*) AS every FROM jobs GROUP BY 1)
+    SELECT source AS run, any_value(every)::BIGINT AS total_jobs, count(*) AS total_categories,
       count(*) FILTER (n > 0) AS categories_with_jobs,
       {half_up("count(*) FILTER (n > 0) * 100", "count(*)", 1)} AS coverage_pct,
-      {half_up("sum(n)", "greatest(count(*) FILTER (n > 0), 1)", 1)} AS avg_jobs_per_category,
-      string_agg(category || '=' || n, ',' ORDER BY category) AS breakdown FROM c GROUP BY source""",
+      {half_up("any_value(every)", "greatest(count(*) FILTER (n > 0), 1)", 1)} AS avg_jobs_per_category,
+      string_agg(category || '=' || n, ',' ORDER BY category) AS breakdown FROM c JOIN a USING (source) GROUP BY source""",
 )
 def scrape_run_metadata(spark: SparkSession, d: str) -> DataFrame:
     meta = an.scrape_run_metadata(

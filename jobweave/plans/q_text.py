@@ -160,10 +160,11 @@ def classify_visa_substring(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "update_unclassified",
     f"""WITH {JOBS_SQL}, k AS (SELECT *, lower(concat_ws(' ', title, description)) AS txt FROM jobs),
-      c AS (SELECT *, {VISA_COUNTS_SQL} FROM k)
-    SELECT url, coalesce(visa_category, {_VISA_SQL}) AS visa_category,
-      CASE WHEN visa_category IS NULL THEN {_CONF_SQL} ELSE classification_confidence END AS confidence,
-      visa_category IS NULL AS stamped FROM c""",
+      c AS (SELECT *, {VISA_COUNTS_SQL} FROM k),
+      v AS (SELECT *, CASE WHEN visa_category IS NULL THEN nullif({_VISA_SQL}, 'Unknown') END AS found, {_CONF_SQL} AS conf FROM c)
+    SELECT url, coalesce(visa_category, found) AS visa_category,
+      CASE WHEN found IS NOT NULL THEN conf ELSE classification_confidence END AS confidence,
+      found IS NOT NULL AS stamped FROM v""",
 )
 def update_unclassified(spark: SparkSession, d: str) -> DataFrame:
     return inc.update_unclassified(jobs_processed(spark, d), AS_OF).select(

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from jobweave.operators import analytics as an
 from jobweave.operators import conversations as cv
 from jobweave.operators import filters as flt
 from jobweave.operators import incremental as inc
@@ -393,3 +394,37 @@ def test_old_partitions_are_dropped(spark, tmp_path):
     df.write.partitionBy("d").parquet(str(tmp_path / "a"))
     sinks.drop_old_partitions(spark, str(tmp_path / "a"), "d", 7, "2024-01-31", str(tmp_path / "b"))
     assert rows_of(spark.read.parquet(str(tmp_path / "b")), "id") == [(2,)]
+
+
+# ------------------------------------------------------------ faults found in review
+@pytest.mark.parametrize("chunk", [None, 2, 3])
+def test_turns_without_or_below_zero(spark, chunk):
+    said = [(1, t, "user", "google") for t in (-1, 0, 5, None)]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    assert sorted(r["turns_kept"] for r in cv.conversation_state(df, chunk_turns=chunk).collect()) == [1, 2, 3, 4]
+
+
+def test_classified_rows_keep_signals_and_stamp(spark):
+    rows = [("a", "x", "y", "CPT", 0.9, ["cpt"], "2024-01-01"), ("b", "OPT ok", "opt cpt", None, None, None, None),
+            ("c", "x", "nothing said", None, None, None, None)]
+    names = ["url", "title", "description", "visa_category", "classification_confidence", "classification_signals", "day"]
+    df = spark.createDataFrame(rows, "url string, title string, description string, visa_category string, "
+                               "classification_confidence double, classification_signals array<string>, day string")
+    df = df.withColumn("classified_at", C("day").cast("timestamp_ntz")).select(*names, "classified_at")
+    got = {r["url"]: r for r in inc.update_unclassified(df, "2025-01-31").collect()}
+    assert got["a"]["classification_signals"] == ["cpt"] and got["a"]["classified_at"].year == 2024
+    assert got["b"]["visa_category"] not in (None, "Unknown") and got["b"]["classified_at"].year == 2025
+    assert got["c"]["visa_category"] is None and got["c"]["classified_at"] is None
+
+
+def test_cache_keeps_one_answer_per_key(spark):
+    cache = spark.createDataFrame([], "url string, cached_category string, cached_at timestamp_ntz")
+    answers = spark.createDataFrame([("u", "CPT"), ("u", "OPT"), ("v", "OPT")], "url string, cached_category string")
+    got = inc.cache_upsert(cache, answers, "url", "2025-01-31").collect()
+    assert sorted((r["url"], r["cached_category"]) for r in got) == [("u", "OPT"), ("v", "OPT")]
+
+
+def test_run_total_counts_unlisted_categories(spark):
+    df = spark.createDataFrame([("r", "a"), ("r", "z"), ("r", None)], "run string, category string")
+    row = an.scrape_run_metadata(df, "run", "category", ["a", "b"]).first()
+    assert (row["total_jobs"], row["total_categories"], row["categories_with_jobs"]) == (3, 2, 1)
