@@ -58,13 +58,12 @@ def hashed_slots(text: Column, dim: int) -> Column:
 
 def _fold(dim: int) -> Callable[[pd.Series], pd.Series]:
     def fold(batch: pd.Series) -> pd.Series:
-        def one(slots) -> list[float]:
-            places = np.asarray(slots, dtype=np.int64)
-            vector = np.bincount(np.abs(places) - 1, weights=np.sign(places), minlength=dim) if len(places) else np.zeros(dim)
-            norm = np.linalg.norm(vector)
-            return (vector / norm if norm else vector).astype(np.float32)
-
-        return batch.map(one)
+        held = [np.asarray(slots, dtype=np.int64) if slots is not None else np.zeros(0, np.int64) for slots in batch]
+        places = np.concatenate(held) if held else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        sums = np.bincount(row * dim + np.abs(places) - 1, weights=np.sign(places), minlength=len(held) * dim).astype(np.float64).reshape(-1, dim)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(sums, norms, out=sums, where=norms > 0).astype(np.float32)), index=batch.index)
 
     return fold
 
@@ -108,12 +107,18 @@ def _best(scores: np.ndarray, item_ids: np.ndarray, k: int, minimum: float, open
 def _compare(qids, qmat, qclasses, ids, mat, classes, k, minimum):
     """Rows (query_id, item_id, score) for one block of items, k per query."""
     out_q, out_i, out_s = [], [], []
+    if qclasses is not None:
+        # one mask for each different list of open classes
+        lists = list(dict.fromkeys(map(frozenset, qclasses)))
+        list_of = np.array([lists.index(frozenset(c)) for c in qclasses], dtype=np.int64)
+        codes, names = pd.factorize(np.asarray(classes, dtype=object), use_na_sentinel=False)
+        masks = np.array([[n in allowed for n in names] for allowed in lists], dtype=bool).reshape(len(lists), len(names))
     for start in range(0, len(ids), _CHUNK):
         part = slice(start, start + _CHUNK)
         scores = np.round(qmat @ mat[part].T, 9)
         open_to = None
         if qclasses is not None:
-            open_to = np.array([[c in allowed for c in classes[part]] for allowed in qclasses])
+            open_to = masks[:, codes[part]][list_of]
         for q, i in _best(scores, ids[part], k, minimum, open_to):
             out_q.append(qids[q])
             out_i.append(ids[part][i])
@@ -129,6 +134,16 @@ def _checked_vectors(df: DataFrame, id_col: str, vec: str, dim: int, extra: list
     )
 
 
+def rejected_vectors(df: DataFrame, id_col: str, vec: str, dim: int) -> DataFrame:
+    """VEC2: the rows that ``cosine_topk`` leaves out, and why."""
+    size = F.size(vec)
+    reason = (
+        F.when(F.col(vec).isNull(), "no vector").when(size != dim, F.concat(F.lit("length "), size))
+        .when(F.exists(vec, lambda x: x.isNull()), "a number is missing")
+    )
+    return df.select(F.col(id_col).alias("id"), reason.alias("reason")).filter("reason is not null")
+
+
 def cosine_topk(
     queries: DataFrame,
     items: DataFrame,

@@ -460,7 +460,7 @@ def jsonld_postings(spark: SparkSession, d: str) -> DataFrame:
         F.lit("https://jobs.example.com/all").alias("url"),
         _posting_json().alias("html"),
     )
-    return pg.jsonld_postings(pages).withColumn("description_chars", F.length("description")).drop("description")
+    return pg.jsonld_postings(pages, description_chars=500).withColumn("description_chars", F.length("description")).drop("description")
 
 
 def card_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -591,7 +591,7 @@ def _has_sql(col: str, values: list[str]) -> str:
     SELECT page_id, job_url, pos FROM w QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 50""",
 )
 def job_links(spark: SparkSession, d: str) -> DataFrame:
-    return pg.job_links(linked_pages(spark, d))
+    return pg.job_links(linked_pages(spark, d), limit=50)
 
 
 @query(
@@ -601,7 +601,7 @@ def job_links(spark: SparkSession, d: str) -> DataFrame:
     SELECT page_id, link, pos, text FROM w QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 200""",
 )
 def candidate_links(spark: SparkSession, d: str) -> DataFrame:
-    return pg.candidate_links(linked_pages(spark, d))
+    return pg.candidate_links(linked_pages(spark, d), limit=200)
 
 
 def _times(word: str) -> str:
@@ -664,7 +664,7 @@ def sitemap_job_urls(spark: SparkSession, d: str) -> DataFrame:
 
     xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(79)), entry), ""), F.lit("</urlset>"))
     maps = read(spark, d, "supplier").select(C("s_suppkey").alias("site"), xml.alias("xml"))
-    return pg.sitemap_job_urls(maps)
+    return pg.sitemap_job_urls(maps, limit=30)
 
 
 CELLS = [

@@ -42,7 +42,7 @@ DESCRIPTIONS = [
     "",
 ]
 QUALIFICATIONS = [
-    "Required: Python, SQL, 2+ years experience", "Java, Spring and Docker", "Spark, Scala, Kafka", None,
+    "Airflow, Python and SQL; 2+ years experience with pipelines", "Java, Spring and Docker", "Spark, Scala, Kafka", None,
     "Excel and Tableau", "",
 ]
 WORK_MODELS = ["Remote", "Hybrid", "On-site", None]
