@@ -69,9 +69,9 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Rows of a file scan over all cores when the files have fewer splits than that.
 
     A file with one row group is read by one task, which would also do all the
-    work on its rows. A scan with enough splits is left as it is, so a large
-    table is never shuffled for this. Hashing on ``keys`` needs no sort and
-    gives a repeated task the same rows.
+    work on its rows. A scan with as many splits as cores is left as it is; one
+    with fewer is shuffled once, whatever its size. Hashing on ``keys`` needs no
+    sort and gives a repeated task the same rows.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
