@@ -92,6 +92,12 @@ def test_packing(spark, sf_dir, monkeypatch, group):
     assert packing.pack(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_words_with_combining_marks(spark):
+    text = "BELEDİYESİ. (İ) হয়, নয়; क़. ज़[ য\u09bc, e\u0301. .É) שּׁ! A\u030a# ΣΑΣ. plain, PLAİN"
+    rows = [(1, text), (2, " ".join([text] * 300)), *enumerate(text.split(), 3)]
+    check_packing(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, 4096).collect(), 4096)
+
+
 def test_local_search_empties_bins():
     rng = random.Random(2)
     for _ in range(20):
