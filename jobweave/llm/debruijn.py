@@ -21,7 +21,7 @@ def edges_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
     """The single edges (128-bit hashes of ``span`` words) of the bundles listed for each document."""
     for batch in batches:
         data, offsets = grams.text_bytes(batch.column("text"))
-        key, mark = batch.column("key").to_numpy(), batch.column("mark").to_numpy().astype(np.int64)
+        key, mark = batch.column("key").to_numpy(), batch.column("mark").to_numpy()
         places, ends = lists_of(batch.column("places"), np.int64)
         weights, _ = lists_of(batch.column("weights"), np.int64)
         for lo, hi in grams.groups_of(np.diff(offsets), grams.BLOCK):
@@ -31,7 +31,7 @@ def edges_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
             if not len(mine):
                 continue
             document = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
-            start, count = mine >> 24, mine >> 16 & 0xFF
+            start, count = mine >> 8, mine & 0xFF
             row = np.repeat(np.arange(len(mine)), count)
             window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + start[row]
             at = words[document[row]] + window
@@ -42,15 +42,15 @@ def edges_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(found[0].view(np.int64)), pa.array(found[1].view(np.int64)),
-                    pa.array(key[lo + document[row]]),
-                    pa.array(window << 24 | 1 << 16 | mark[lo + document[row]]), pa.array(weight[row]),
+                    pa.array(key[lo + document[row]]), pa.array(mark[lo + document[row]]),
+                    pa.array(window << 8 | 1), pa.array(weight[row]),
                 ],
-                names=["edge", "check", "key", "place", "weight"],
+                names=["edge", "check", "key", "mark", "place", "weight"],
             )
 
 
 def repeated_paths(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Stretches of repeated edges in the de Bruijn graph of ``keyed`` documents: key, place, kind.
+    """Stretches of repeated edges in the de Bruijn graph of ``keyed`` documents: key, mark, place, kind.
 
     Every window of ``span`` words is an edge. The edges that share a minimizer
     form one stretch of a path. Where all occurrences of the minimizer carry the
@@ -63,27 +63,27 @@ def repeated_paths(documents: DataFrame, span: int = SPAN, gram: int = GRAM) ->
     # each different stretch at a branch: how often it occurs, and one place of it
     stretches = stored(
         found.where("mixed").groupBy("gram", "body")
-        .agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")).select("n", "at.key", "at.place"),
+        .agg(F.count("*").alias("n"), F.min(F.struct("key", "place", "mark")).alias("at")).select("n", "at.key", "at.mark", "at.place"),
         "stretches",
     )
     asked = (
-        stretches.select("key", "place", F.least("n", F.lit(2)).alias("weight"))
-        .groupBy("key", F.col("place").bitwiseAND(0xFFFF).cast("int").alias("mark"))
+        stretches.select("key", "mark", "place", F.least("n", F.lit(2)).alias("weight"))
+        .groupBy("key", "mark")
         .agg(F.collect_list("place").alias("places"), F.collect_list("weight").alias("weights"))
     )
     edges = stored(
         documents.join(asked, ["key", "mark"])
-        .mapInArrow(lambda b: edges_of(b, span), "edge long, check long, key long, place long, weight long"),
+        .mapInArrow(lambda b: edges_of(b, span), "edge long, check long, key long, mark long, place long, weight long"),
         "edges",
     )
     twice = stored(
         edges.groupBy("edge", "check").agg(F.sum("weight").alias("n")).where("n > 1").select("edge", "check"), "twice"
     )
-    matched = edges.where("weight = 1").join(twice, ["edge", "check"]).select("key", "place")
+    matched = edges.where("weight = 1").join(twice, ["edge", "check"]).select("key", "mark", "place")
     return (
-        found.select("key", "place", F.lit(SEEN).alias("kind"))
-        .union(stretches.where("n = 1").select("key", "place", F.lit(OPEN)))
-        .union(matched.select("key", "place", F.lit(FOUND)))
+        found.select("key", "mark", "place", F.lit(SEEN).alias("kind"))
+        .union(stretches.where("n = 1").select("key", "mark", "place", F.lit(OPEN)))
+        .union(matched.select("key", "mark", "place", F.lit(FOUND)))
     )
 
 
@@ -131,6 +131,6 @@ def remove_repeated_spans(documents: DataFrame, span: int = SPAN, gram: int = GR
     """
     documents = keyed(documents)
     rows = repeated_paths(documents, span, gram)
-    schema = "key long, mark int, n_words long, n_removed long, spans array<struct<first: long, end: long>>, kept string"
+    schema = "key long, mark long, n_words long, n_removed long, spans array<struct<first: long, end: long>>, kept string"
     out = gathered(documents, rows, lambda b: kept_words(b, span), schema)
     return out.select(id_of(F.col("key")).alias("doc_id"), "n_words", "n_removed", "spans", "kept", "mark")

@@ -213,4 +213,4 @@ def quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, lo
     """
     model = train(training_sample(documents, labels, "quality", rows, longest))
     out = keyed(documents).withColumn("held_out", held_out_key())
-    return out.mapInArrow(lambda b: scores_of(b, model), "key long, mark int, held_out boolean, score double")
+    return out.mapInArrow(lambda b: scores_of(b, model), "key long, mark long, held_out boolean, score double")

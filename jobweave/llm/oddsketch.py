@@ -240,7 +240,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
     """
     documents = keyed(documents)
     rows = band_rows(similarity)
-    schema = "key long, mark int, size long, node long, check long, bands array<long>"
+    schema = "key long, mark long, size long, node long, check long, bands array<long>"
     signed = stored(documents.mapInArrow(lambda b: signatures(b, shingle, rows), schema), "signatures")
     nodes = stored(
         signed.where("size > 0").groupBy("node", "size", "check")
@@ -299,8 +299,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
         labels = components(links)
 
     smallest = (
-        nodes.select("node", "key").join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
-        .agg(F.min("key").alias("smallest"))
+        nodes.select("node", "key", "mark").join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
+        .agg(F.min(F.struct("key", "mark")).alias("smallest"))
     )
     member_of = stored(
         nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -308,10 +308,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, similarity: float =
         "member-of",
     )
     out = signed.select("key", "mark", "size", "node").join(member_of, "node", "left")
-    component = F.when(F.col("size") > 0, F.col("smallest")).otherwise(F.col("key"))
+    first = F.when(F.col("size") > 0, F.col("smallest")).otherwise(F.struct("key", "mark"))
     return out.select(
-        id_of(F.col("key")).alias("doc_id"), F.col("size").alias("n_shingles"), id_of(component).alias("component_id"),
-        (F.col("key") == component).alias("kept"), "mark",
+        id_of(F.col("key")).alias("doc_id"), F.col("size").alias("n_shingles"), id_of(first["key"]).alias("component_id"),
+        (F.struct("key", "mark") == first).alias("kept"), "mark",
     )
 
 

@@ -8,8 +8,8 @@ seen once rules out its whole bundle, and a whole bundle seen again settles all
 its windows in one row. Only bundles that share a gram but not their content are
 opened to single windows, by the operator that calls.
 
-A place is packed in a long: first window << 24 | number of windows << 16 | mark
-of the text.
+A place is packed in a long: first window << 8 | number of windows. The document
+is named by key and mark, see ``keyed``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from jobweave.llm import grams
 from jobweave.llm.store import stored
 
-RUNS = "gram long, body long, key long, place long"
+RUNS = "gram long, body long, key long, mark long, place long"
 #: What is known of a bundle in ``gathered``: seen elsewhere, not settled by whole bundles, or windows found equal.
 SEEN, OPEN, FOUND = 0, 1, 2
 
@@ -56,16 +56,15 @@ def bundles(documents: DataFrame, span: int, gram: int, words: bool) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = grams.text_bytes(batch.column("text"))
-            key = batch.column("key").to_numpy()
-            mark = batch.column("mark").to_numpy().astype(np.int64)
+            key, mark = batch.column("key").to_numpy(), batch.column("mark").to_numpy()
             for lo, shift, part, places in pieces(data, offsets, span, words):
                 first, second, places = values_of(part, places, words)
                 document, start, count, head, body = grams.window_runs(first, second, places, span, gram)
                 if len(document):
-                    place = (start + shift) << 24 | count << 16 | mark[lo + document]
+                    place = (start + shift) << 8 | count
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (head, body, key[lo + document], place)],
-                        names=["gram", "body", "key", "place"],
+                        [pa.array(x) for x in (head, body, key[lo + document], mark[lo + document], place)],
+                        names=["gram", "body", "key", "mark", "place"],
                     )
 
     return documents.mapInArrow(run, RUNS)
@@ -87,15 +86,12 @@ def repeated(documents: DataFrame, span: int, gram: int, words: bool) -> DataFra
 
 
 def gathered(documents: DataFrame, rows: DataFrame, per_document: Callable, schema: str) -> DataFrame:
-    """``per_document(batch, places)`` over documents with what ``rows`` (key, place, kind) says of each.
+    """``per_document(batch, places)`` over documents with what ``rows`` (key, mark, place, kind) says of each.
 
     Documents without rows come too. One shuffle of the texts; a document's list
     is bounded by its own length.
     """
-    lists = (
-        rows.select("key", F.col("place").bitwiseAND(0xFFFF).cast("int").alias("mark"), "place", "kind")
-        .groupBy("key", "mark").agg(F.collect_list("place").alias("places"), F.collect_list("kind").alias("kinds"))
-    )
+    lists = rows.groupBy("key", "mark").agg(F.collect_list("place").alias("places"), F.collect_list("kind").alias("kinds"))
     return documents.join(lists, ["key", "mark"], "left").mapInArrow(per_document, schema)
 
 
@@ -108,7 +104,7 @@ def settled(places: np.ndarray, kinds: np.ndarray, covers: int, size: int) -> np
     seen = seen[~np.isin(seen, places[kinds == OPEN])]
     all_places = np.concatenate([seen, places[kinds == FOUND]])
     edges = np.zeros(size + 1, np.int32)
-    start, count = all_places >> 24, all_places >> 16 & 0xFF
+    start, count = all_places >> 8, all_places & 0xFF
     np.add.at(edges, start, 1)
     np.add.at(edges, start + count - 1 + covers, -1)
     return np.cumsum(edges[:-1]) > 0

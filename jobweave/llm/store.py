@@ -29,14 +29,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def mark_of(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(0xFFFF).cast("int")
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
     """Key, mark of the text and text of each document; all other columns are left out.
 
-    The key is the id, with NO_ID for null. The mark is 16 bits of the text's
-    hash: it keeps apart different texts that share an id.
+    The key is the id, with NO_ID for null. The mark is the text's whole
+    64-bit hash: it keeps apart different texts that share an id or have none.
     """
     return documents.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),

@@ -191,8 +191,8 @@ def passages_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Rec
         heads, _ = lists_of(batch.column("grams"), np.int64)
         parts, _ = lists_of(batch.column("parts"), np.int64)
         document = np.repeat(np.arange(len(batch)), np.diff(ends))
-        key = batch.column("key").to_numpy()
-        start, size = offsets[document] + (places >> 24), (places >> 16 & 0xFF) + span - 1
+        key, mark = batch.column("key").to_numpy(), batch.column("mark").to_numpy()
+        start, size = offsets[document] + (places >> 8), (places & 0xFF) + span - 1
         for lo, hi in grams.groups_of(size, 4 * grams.BLOCK):
             row = np.repeat(np.arange(lo, hi), size[lo:hi])
             begin = np.cumsum(size[lo:hi]) - size[lo:hi]
@@ -201,8 +201,8 @@ def passages_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Rec
             body = pa.Array.from_buffers(pa.binary(), hi - lo, [None, bounds, pa.py_buffer(data[index].tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(heads[lo:hi]), pa.array(parts[lo:hi]), pa.array(key[document[lo:hi]]),
-                 pa.array(places[lo:hi]), body],
-                names=["gram", "parts", "key", "place", "body"],
+                 pa.array(mark[document[lo:hi]]), pa.array(places[lo:hi]), body],
+                names=["gram", "parts", "key", "mark", "place", "body"],
             )
 
 
@@ -232,11 +232,11 @@ def sort_passages(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> It
 
     The latter carry a 128-bit hash, by which the sorts' earliest windows meet.
     """
-    names = ["key", "place", "hash", "check"]
+    names = ["key", "mark", "place", "hash", "check"]
     for table in whole_groups(batches, ["gram", "salt"], ROWS):
-        table = table.sort_by([("gram", "ascending"), ("key", "ascending"), ("place", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("gram", "key", "place", "mark")])
         new = np.ones(len(table), bool)  # equal rows of the input give the same passage twice
-        new[1:] = np.any([np.diff(table.column(c).to_numpy()) != 0 for c in ("gram", "key", "place")], axis=0)
+        new[1:] = np.any([np.diff(table.column(c).to_numpy()) != 0 for c in ("gram", "key", "place", "mark")], axis=0)
         table = table.filter(pa.array(new))
         body = table.column("body").combine_chunks().cast(pa.large_binary())
         _, bounds, raw = body.buffers()
@@ -244,7 +244,7 @@ def sort_passages(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> It
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         head, salt = table.column("gram").to_numpy(), table.column("salt").to_numpy()
-        key, place = table.column("key").to_numpy(), table.column("place").to_numpy()
+        key, mark, place = (table.column(c).to_numpy() for c in ("key", "mark", "place"))
         _, group = np.unique(np.stack([head, salt]), axis=1, return_inverse=True)
         found = grams.gram_hashes(grams.BYTE_VALUES[0][data], gram, grams.MULTIPLIERS[2]).view(np.int64)
         row = np.repeat(np.arange(len(head)), np.diff(offsets))[: len(found)]
@@ -253,9 +253,9 @@ def sort_passages(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> It
         anchor[row[hits[::-1]]] = hits[::-1] - offsets[row[hits[::-1]]]
         passage, start, later = later_windows(group.reshape(-1), data, offsets, anchor, span)
         p, s, c = runs_of(passage[later], start[later])
-        where = ((place[p] >> 24) + s) << 24 | c << 16 | place[p] & 0xFFFF
+        where = ((place[p] >> 8) + s) << 8 | c
         nothing = pa.nulls(len(p), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(where), nothing, nothing], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(mark[p]), pa.array(where), nothing, nothing], names=names)
         split = np.flatnonzero(~later & (table.column("parts").to_numpy()[passage] > 1))
         if len(split):
             p, s = passage[split], start[split]
@@ -264,14 +264,14 @@ def sort_passages(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> It
                 grams.mix(grams.stretch(grams.prefix_sums(grams.BYTE_VALUES[j][data], m), m, at, at + span))
                 for j, m in enumerate(grams.MULTIPLIERS[:2])
             ]
-            where = ((place[p] >> 24) + s) << 24 | 1 << 16 | place[p] & 0xFFFF
+            where = ((place[p] >> 8) + s) << 8 | 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[p]), pa.array(where), *(pa.array(h.view(np.int64)) for h in hashes)], names=names
+                [pa.array(key[p]), pa.array(mark[p]), pa.array(where), *(pa.array(h.view(np.int64)) for h in hashes)], names=names
             )
 
 
 def repeated_passages(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Places in ``keyed`` documents whose ``span`` bytes also start earlier: key, place, kind.
+    """Places in ``keyed`` documents whose ``span`` bytes also start earlier: key, mark, place, kind.
 
     The suffix array is sparse: suffixes stand at the minimizers of the windows,
     one for some 40 bytes. Passages that recur whole are settled by the earliest
@@ -280,42 +280,42 @@ def repeated_passages(documents: DataFrame, span: int = SPAN, gram: int = GRAM)
     found = repeated(documents, span, gram, words=False)
     firsts = stored(
         found.groupBy("gram", "body")
-        .agg(F.min(F.struct("key", "place")).alias("at"), F.max("mixed").alias("mixed"))
-        .select("gram", "mixed", "at.key", "at.place"),
+        .agg(F.min(F.struct("key", "place", "mark")).alias("at"), F.max("mixed").alias("mixed"))
+        .select("gram", "mixed", "at.key", "at.mark", "at.place"),
         "firsts",
     )
     sizes = firsts.where("mixed").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER)
     crowded = stored(sizes.select("gram", F.ceil(F.col("n") / TOGETHER).alias("parts")), "crowded")
     asked = (
         firsts.where("mixed").join(crowded, "gram", "left")
-        .groupBy("key", F.col("place").bitwiseAND(0xFFFF).cast("int").alias("mark"))
+        .groupBy("key", "mark")
         .agg(
             F.collect_list("place").alias("places"), F.collect_list("gram").alias("grams"),
             F.collect_list(F.coalesce("parts", F.lit(1).cast("long"))).alias("parts"),
         )
     )
     bodies = documents.join(asked, ["key", "mark"]).mapInArrow(
-        lambda b: passages_of(b, span), "gram long, parts long, key long, place long, body binary"
+        lambda b: passages_of(b, span), "gram long, parts long, key long, mark long, place long, body binary"
     )
-    dealt = bodies.withColumn("salt", F.pmod(F.xxhash64("key", "place"), "parts"))
+    dealt = bodies.withColumn("salt", F.pmod(F.xxhash64("key", "mark", "place"), "parts"))
     sorts = stored(
         dealt.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(
-            lambda b: sort_passages(b, span, gram), "key long, place long, hash long, check long"
+            lambda b: sort_passages(b, span, gram), "key long, mark long, place long, hash long, check long"
         ),
         "sorts",
     )
     split = sorts.where("hash is not null")
     earliest = stored(
-        split.groupBy("hash", "check").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at"))
+        split.groupBy("hash", "check").agg(F.count("*").alias("n"), F.min(F.struct("key", "place", "mark")).alias("at"))
         .where("n > 1"),
         "earliest",
     )
-    across = split.join(earliest, ["hash", "check"]).where("struct(key, place) != at").select("key", "place")
+    across = split.join(earliest, ["hash", "check"]).where("struct(key, place, mark) != at").select("key", "mark", "place")
     return (
-        found.select("key", "place", F.lit(SEEN).alias("kind"))
-        .union(firsts.select("key", "place", F.lit(OPEN)))
-        .union(sorts.where("hash is null").select("key", "place", F.lit(FOUND)))
-        .union(across.select("key", "place", F.lit(FOUND)))
+        found.select("key", "mark", "place", F.lit(SEEN).alias("kind"))
+        .union(firsts.select("key", "mark", "place", F.lit(OPEN)))
+        .union(sorts.where("hash is null").select("key", "mark", "place", F.lit(FOUND)))
+        .union(across.select("key", "mark", "place", F.lit(FOUND)))
     )
 
 

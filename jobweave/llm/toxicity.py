@@ -144,7 +144,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, l
     """
     model = train(training_sample(documents, labels, "toxic", rows, longest))
     out = keyed(documents).withColumn("held_out", held_out_key())
-    return out.mapInArrow(lambda b: scores_of(b, model), "key long, mark int, held_out boolean, score double")
+    return out.mapInArrow(lambda b: scores_of(b, model), "key long, mark long, held_out boolean, score double")
 
 
 def toxic_score(model: Model) -> Callable[[Column], Column]:

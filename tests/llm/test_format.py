@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from jobweave.llm import chat, linecrf, packing, toxicity, vafile
 from jobweave.llm.chat import conversation_digests, format_conversations, format_turn, read_back, text_parts
+from jobweave.llm.debruijn import remove_repeated_spans
 from tests.llm import brute
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -204,5 +205,31 @@ def test_pipeline(spark, sf_dir):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+def test_documents_without_ids(spark, sf_dir):
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{j}x"), F.col("id")) for j in range(60)])
+    rows = spark.range(2000).select(words.alias("text"))
+    low = F.xxhash64("text").bitwiseAND(0xFFFF)
+    clash = [r.texts for r in rows.groupBy(low).agg(F.collect_list("text").alias("texts")).where("count(*) > 1").collect()]
+    assert len(clash) > 10
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 200").first().text
+    clear = [t for texts in clash for t in texts]
+    # near copies without ids: one of them stays
+    near = [" ".join(f"n{i}" for i in range(200)) + end for end in ("", " more", " other")]
+    docs = spark.createDataFrame([(None, t, "en", "x", len(t)) for t in clear + near + [bench]], "doc_id long, text string, lang string, source string, n_chars long")
+    names = dict(corpus_pipeline.STAGES)
+    kept = [r.text for r in names["near_dedup"](spark, docs, sf_dir).collect()]
+    assert sorted(t for t in kept if t not in near) == sorted([*clear, bench]) and len(set(kept) & set(near)) == len(kept) - len(clear) - 1 == 1
+    left = [r.text for r in names["decontamination"](spark, docs, sf_dir).collect()]
+    assert sorted(left) == sorted(clear + near)
+    # of each two texts with one mark of 16 bits, the second shares its end with the first of the next two
+    pairs = [list(t[:2]) for t in clash]
+    for a, b in zip(pairs, pairs[1:], strict=False):
+        a[1] += " " + b[0]
+    shared = [(None, t) for p in pairs for t in p]
+    df = spark.createDataFrame(shared, "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in remove_repeated_spans(df, 35).collect()]
+    assert sorted(got, key=repr) == sorted(brute.spans_removed(shared, 35), key=repr)
+
+
 def test_digest_helper():
     assert brute.sha(b"") == hashlib.sha256().hexdigest()
