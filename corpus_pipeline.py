@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,11 @@ def marked(documents: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.5."""
+    """Documents with a toxicity score below 0.5; all, with a warning, where the training labels lack either class."""
     sample = training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", SAMPLE_ROWS, SAMPLE_LONGEST)
+    if {label for _, label in sample} != {0, 1}:
+        warnings.warn("no toxic or no ordinary text to learn from: no document is dropped as toxic", stacklevel=2)
+        return docs.select(*DOCUMENT)
     score = toxic_score(train(sample))
     return docs.select(*DOCUMENT).where(score(F.col("text")) < 0.5)
 

@@ -205,6 +205,18 @@ def test_pipeline(spark, sf_dir):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+def test_toxicity_without_labels(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    cases = {"none": [], "toxic": [(i, 1, 1) for i in ids], "ordinary": [(i, 1, 0) for i in ids], "elsewhere": [(-5, 1, 0), (-6, 1, 1)]}
+    cases["contradicting"] = cases["toxic"] + cases["ordinary"]
+    for name, rows in cases.items():
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        with pytest.warns(UserWarning, match="no document is dropped"):
+            kept = corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{name}")
+        assert kept.columns == corpus_pipeline.DOCUMENT and sorted(r.doc_id for r in kept.collect()) == sorted(ids)
+
+
 def test_documents_without_ids(spark, sf_dir):
     words = F.concat_ws(" ", *[F.concat(F.lit(f"w{j}x"), F.col("id")) for j in range(60)])
     rows = spark.range(2000).select(words.alias("text"))
