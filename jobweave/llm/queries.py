@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 from jobweave.plans.registry import query
 
-FAMILIES = ["q_dedup", "q_classify", "q_native", "q_format"]
+FAMILIES = ["q_dedup", "q_classify", "q_native", "q_format", "q_spans"]
 
 for family in FAMILIES:
     importlib.import_module(f"jobweave.llm.{family}")
