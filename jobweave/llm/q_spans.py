@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobweave.llm.alignment import align_tokenizers
 from jobweave.llm.periodic import periodic_runs
 from jobweave.llm.winnowing import let
 from jobweave.plans.registry import query
@@ -95,3 +97,10 @@ def op11_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-F.col("top.period")).alias("period"), F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
         F.sha2(F.array_join(written, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_lockstep_alignment")
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokenizers(documents, a, b).drop("groups", "mark")
