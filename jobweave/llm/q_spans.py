@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm.alignment import align_tokenizers
+from jobweave.llm.licenses import scan_licenses
 from jobweave.llm.periodic import periodic_runs
 from jobweave.llm.winnowing import let
 from jobweave.plans.registry import query
@@ -104,3 +105,15 @@ def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return align_tokenizers(documents, a, b).drop("groups", "mark")
+
+
+@query("op13_license_signatures")
+def op13_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    base = F.filter("found", lambda x: x["base"])
+    return out.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first").alias("first_word"), F.array_max("base.first").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
