@@ -39,10 +39,15 @@ def unescape_role(role: str) -> str:
 
 
 class Flattener:
-    """Visits the parts of a turn: text is escaped, everything else becomes a numbered placeholder."""
+    """Visits the parts of a turn: text is escaped, everything else becomes a numbered placeholder.
+
+    Neighbouring texts are one text before they are escaped, so that no control
+    string can arise where two of them meet.
+    """
 
     def __init__(self) -> None:
         self.out: list[str] = []
+        self.texts: list[str] = []
         self.attachments: list[dict] = []
 
     def visit(self, part: dict | None) -> None:
@@ -50,7 +55,12 @@ class Flattener:
         getattr(self, f"visit_{kind}", self.visit_unknown)(part or {})
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
+
+    def body(self) -> str:
+        self.out.append(escape("".join(self.texts)))
+        self.texts.clear()
+        return "".join(self.out)
 
     def visit_image(self, part: dict) -> None:
         tiles = math.ceil((part.get("width") or 0) / TILE) * math.ceil((part.get("height") or 0) / TILE)
@@ -67,7 +77,8 @@ class Flattener:
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         place = len(self.attachments)
-        self.out.append(f"<|{kind}:{place}|>")
+        self.out.append(escape("".join(self.texts)) + f"<|{kind}:{place}|>")
+        self.texts.clear()
         self.attachments.append({"place": place, "type": kind, "uri": part.get("uri"), "tokens": tokens})
 
 
@@ -79,7 +90,7 @@ def format_turn(role: str | None, parts: list[dict] | None) -> tuple[str, list[i
     visitor = Flattener()
     for part in parts or []:
         visitor.visit(part)
-    head, body = f"{START}{escape_role(role or '')}\n", "".join(visitor.out)
+    head, body = f"{START}{escape_role(role or '')}\n", visitor.body()
     loss = [len(head), len(head) + len(body)] if role == "assistant" else [0, 0]
     return f"{head}{body}{END}\n", loss, visitor.attachments
 
@@ -142,27 +153,29 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     One conversation's running hashes are all that is held.
     """
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "expanded_tokens"]
     conv, state = None, None
 
     def row():
-        return [conv[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
+        return [conv[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), *state[4:]]
 
     for batch in batches:
         out = []
-        columns = (batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_first", "loss_end"))
-        for c, formatted, first, end in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_first", "loss_end", "expanded_tokens"))
+        for c, formatted, first, end, tokens in zip(*columns, strict=True):
             if conv != (c,):
                 if conv is not None:
                     out.append(row())
-                conv, state = (c,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text, _ in read_back(formatted):
+                conv, state = (c,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+            for role, text, marks in read_back(formatted):
                 state[0] += 1
+                state[5] += len(marks)
                 state[1].update(f"{role}\n{text}\n".encode())
             loss = unescape(PLACEHOLDER.sub("", formatted[first:end]))
             state[2] += len(loss)
             state[3].update(loss.encode())
             state[4] += len(formatted)
+            state[6] += tokens
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=names)
     if conv is not None:
@@ -170,14 +183,21 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from formatted turns.
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments and expanded_tokens.
+
+    All but the last are read back from formatted turns; that is the number of
+    tokens that the placeholders stand for.
 
     Turns go by number, null first; equal numbers by their formatted text. A hash
     over a conversation is one chain, so a conversation is read by one task, turn
     by turn, without being held.
     """
     return (
-        formatted.select("conv_id", "turn", "formatted", "loss_first", "loss_end")
+        formatted.select("conv_id", "turn", "formatted", "loss_first", "loss_end", "expanded_tokens")
         .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-        .mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        .mapInArrow(
+            digests,
+            "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
+            "n_attachments long, expanded_tokens long",
+        )
     )
