@@ -61,21 +61,25 @@ def short_grams(hashes: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
-    """item_id, words of each window, its length and its fingerprint."""
-    items = (
-        benchmark.select(F.col("item_id"), words_of(F.col("text").cast("string")).alias("words"))
-        .where(F.size("words") > 0).withColumn("hashes", hashed(F.col("words")))
-        .withColumn("length", F.least(F.size("words"), F.lit(window)))
-    )
-    places = items.select(
-        "item_id", "length", "words", "hashes",
-        window_minima(F.col("hashes"), window, gram).alias("minima"),
-        F.explode(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)).alias("at"),
+    """item_id, words of each window, its length and its fingerprint.
+
+    The windows of an item are built in one go and only then become rows, so no
+    row carries a whole item.
+    """
+    items = benchmark.select("item_id", words_of(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
+    full = let(
+        F.col("words"),
+        lambda words: let(
+            let(hashed(words), lambda hashes: window_minima(hashes, window, gram)),
+            lambda minima: F.transform(
+                minima, lambda x, i: F.struct(F.lit(window).alias("length"), F.slice(words, i + 1, window).alias("sequence"), x.alias("print"))
+            ),
+        ),
     )
-    print_of = F.when(F.col("length") == window, F.get("minima", F.col("at") - 1)).otherwise(
-        F.xxhash64("length", "hashes")
+    short = F.array(
+        F.struct(F.size("words").alias("length"), F.col("words").alias("sequence"), F.xxhash64(F.size("words"), hashed(F.col("words"))).alias("print"))
     )
-    return places.select("item_id", "length", F.slice("words", F.col("at"), F.col("length")).alias("sequence"), print_of.alias("print"))
+    return items.select("item_id", F.explode(F.when(F.size("words") >= window, full).otherwise(short)).alias("w")).select("item_id", "w.*")
 
 
 def prints_of(hashes: Column, length: int, window: int, gram: int) -> Column:
@@ -87,24 +91,32 @@ def distinct_prints(text: Column, length: int, window: int, gram: int) -> Column
     return let(hashed(words_of(text)), lambda h: F.array_distinct(prints_of(h, length, window, gram)))
 
 
-def windows_with(prints: Column, words: Column, length: int, window: int, gram: int) -> Column:
-    """Fingerprint, place (from 1) and words of the windows whose fingerprint is in ``prints``."""
+def placed_prints(text: Column, length: int, window: int, gram: int) -> Column:
+    """Place (from 1) and fingerprint of every window of ``length`` words."""
+    return let(
+        hashed(words_of(text)),
+        lambda h: F.transform(prints_of(h, length, window, gram), lambda x, i: F.struct((i + 1).alias("at"), x.alias("print"))),
+    )
 
-    def chosen(all_words: Column, found: Column) -> Column:
-        placed = F.transform(found, lambda x, i: F.struct(x.alias("print"), (i + 1).alias("at")))
-        return F.transform(
-            F.filter(placed, lambda x: F.array_contains(prints, x["print"])),
-            lambda x: F.struct(
-                x["print"].alias("print"), x["at"].alias("at"), F.slice(all_words, x["at"], length).alias("sequence")
-            ),
-        )
 
-    return let(words, lambda w: let(hashed(w), lambda h: let(prints_of(h, length, window, gram), lambda p: chosen(w, p))))
+def windows_at(text: Column, length: int) -> Column:
+    """The windows of ``length`` words at ``places``, with place and fingerprint."""
+    return let(
+        words_of(text),
+        lambda words: F.transform(
+            "places", lambda p: F.struct(p["at"].alias("at"), p["print"].alias("print"), F.slice(words, p["at"], length).alias("sequence"))
+        ),
+    )
 
 
-def hit_windows(documents: DataFrame, benchmark: DataFrame, window: int, gram: int) -> DataFrame:
-    """key, mark, first word, length and sequence number of each window of ``keyed`` documents that occurs in an item."""
-    windows = stored(benchmark_windows(benchmark, window, gram), "windows")
+def hit_windows(documents: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:
+    """key, mark, first word, length and words of each window of ``keyed`` documents that is among ``windows``.
+
+    First the documents that share a fingerprint are found, from each document's
+    distinct ones; then the places of shared fingerprints in these documents; then
+    the windows there, compared word by word. Rows carry a place and a hash, or
+    one window, and never a whole text.
+    """
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # at most ``window`` numbers
     prints = windows.select("print").distinct()
     if prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -112,17 +124,17 @@ def hit_windows(documents: DataFrame, benchmark: DataFrame, window: int, gram: i
     everything = [distinct_prints(F.col("text"), n, window, gram) for n in lengths] or [F.array().cast("array<long>")]
     candidates = (
         documents.select("key", "mark", F.explode(F.array_distinct(F.concat(*everything))).alias("print"))
-        .join(prints, "print").groupBy("key", "mark").agg(F.collect_set("print").alias("prints"))
+        .join(prints, "print").select("key", "mark").distinct()
     )
-    chosen = documents.join(stored(candidates, "candidates"), ["key", "mark"])
-    # the candidates' windows with a shared fingerprint, compared word by word
-    spread = chosen.select("key", "mark", "prints", words_of(F.col("text")).alias("words"))
-    rows = [
-        spread.select(
-            "key", "mark", F.explode(windows_with(F.col("prints"), F.col("words"), n, window, gram)).alias("w"), F.lit(n).alias("length")
-        ).select("key", "mark", "w.*", "length")
-        for n in lengths or [window]
-    ]
+    chosen = stored(documents.join(stored(candidates, "candidates"), ["key", "mark"]).dropDuplicates(["key", "mark"]), "chosen")
+    rows = []
+    for n in lengths or [window]:
+        placed = chosen.select("key", "mark", F.explode(placed_prints(F.col("text"), n, window, gram)).alias("p")).select("key", "mark", "p.*")
+        places = placed.join(prints, "print").groupBy("key", "mark").agg(F.collect_list(F.struct("at", "print")).alias("places"))
+        rows.append(
+            chosen.join(places, ["key", "mark"]).select("key", "mark", F.explode(windows_at(F.col("text"), n)).alias("w"), F.lit(n).alias("length"))
+            .select("key", "mark", "w.*", "length")
+        )
     merged = rows[0]
     for other in rows[1:]:
         merged = merged.unionByName(other)
@@ -147,7 +159,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     documents = keyed(documents)
     benchmark = benchmark.where("item_id is not null")
-    hits = hit_windows(documents, benchmark, window, gram)
+    windows = stored(benchmark_windows(benchmark, window, gram), "windows")
+    hits = hit_windows(documents, windows, window, gram)
     covered = F.aggregate(
         F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("length")).alias("end")))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
@@ -160,7 +173,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     words_hit = hits.groupBy("key", "mark").agg(covered.alias("n_hit"))
     items = (
         hits.select("key", "mark", "sequence").distinct()
-        .join(benchmark_windows(benchmark, window, gram).select("item_id", "sequence").distinct(), "sequence")
+        .join(windows.select("item_id", "sequence").distinct(), "sequence")
         .groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
     found = stored(words_hit.join(items, ["key", "mark"]), "found")

@@ -75,6 +75,15 @@ def test_winnowing_of_nothing(spark):
     assert decontaminate(docs.limit(0), none).count() == 0
 
 
+def test_winnowing_of_long_texts(spark):
+    """Item and document of many words, equal and not: no row carries more than a window or one text."""
+    words = [f"w{i * 7919 % 30011}" for i in range(40_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[5:40]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "none of these")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate(docs, bench).collect()}
+    assert got == {1: (40_000, 40_000, ["1"], True), 2: (40_000, 0, [], False), 3: (35, 35, ["1"], True)}
+
+
 def check_shards(rows, got, shards):
     assert sorted((r.doc_id, r.size, r.text_crc32) for r in got if r.doc_id is not None) == sorted(
         (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows if i is not None
