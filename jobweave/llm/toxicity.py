@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,26 +14,32 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.llm import grams
 from jobweave.llm.labelled import fit_logistic, held_out, logistic, training_sample
-from jobweave.llm.store import keyed
+from jobweave.llm.store import keyed, returning_memory
 
 #: Labelled documents that the dictionaries and thresholds are learnt from, and the longest of them in characters.
-SAMPLE_ROWS, SAMPLE_LONGEST = 8000, 100_000
-#: Words of ordinary text in both dictionaries; bytes of ballast after each window.
-COMMON, BALLAST = 1500, 48
-LEVEL = 6
-#: Windows remembered by a task.
-REMEMBERED = 400_000
+SAMPLE_ROWS, SAMPLE_LONGEST = 4000, 100_000
+#: Bytes of a window, and from one window to the next.
+WINDOW, STEP = 256, 128
+#: Bytes of the ordinary dictionary, and of what the toxic one has besides, at most.
+DICTIONARY, TOXIC_BYTES = 8192, 2048
+#: Lengths in bytes of the stretches that are counted in toxic and in ordinary texts.
+STRETCHES = (6, 10, 16)
+#: How far a stretch's counts must be from chance (twice the log-likelihood ratio) to make it toxic, besides what
+#: the most extreme of as many stretches reaches by chance.
+BEYOND_CHANCE = 4.0
+#: A stretch goes into the dictionary if it is so telling, compared with the most telling one.
+TELLING_SHARE = 0.15
 #: Highest window distances of a document that its score rests on.
-TOP = 3
+TOP = 5
 
-_FROM = bytes(range(0x00, 0x20)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + bytes(range(ord("A"), ord("Z") + 1))
-_TO = b" " * (len(_FROM) - 26) + bytes(range(ord("a"), ord("z") + 1))
-PLAIN = bytes.maketrans(_FROM, _TO)
+# what stands between words becomes a space, A-Z lower case
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().translate(PLAIN).split()
+def plain(text: str) -> bytes:
+    return text.encode().translate(PLAIN)
 
 
 @dataclass(frozen=True)
@@ -43,91 +48,179 @@ class Model:
 
     ordinary: bytes
     toxic: bytes
-    ballast: bytes
     weights: tuple[float, ...]
 
 
-class Distances(dict):
-    """Window -> how many bytes the toxic dictionary saves over the ordinary one; kept for recurring windows.
+class Distances:
+    """How many bytes the toxic dictionary saves over the ordinary one, for each window of a text.
 
-    A window is a word between blanks. It is too short to be compressed by
-    itself, so a ballast that both dictionaries hold follows it.
+    Both dictionaries begin with the ordinary part; the toxic one goes on with the
+    toxic part, the other with as many zeros, so what both hold is found at the
+    same distance. Literals are left as they are (the fastest strategy),
+    so that a shared stretch of few bytes already counts.
     """
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.ballast = b" " + model.ballast
-        self.ordinary, self.toxic = (self.compressor(x) for x in (model.ordinary, model.toxic))
+        self.ordinary, self.toxic = (self.compressor(model.ordinary + x) for x in (b"\0" * len(model.toxic), model.toxic))
 
     @staticmethod
     def compressor(content: bytes) -> zstandard.ZstdCompressor:
         entries = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        settings = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, source_size=64, dict_size=len(content), min_match=4,
+        settings = zstandard.ZstdCompressionParameters(
+            window_log=15, hash_log=15, chain_log=6, search_log=1, min_match=6, target_length=1, strategy=zstandard.STRATEGY_FAST,
             write_checksum=False, write_content_size=False, write_dict_id=False,
         )
         entries.precompute_compress(compression_params=settings)
         return zstandard.ZstdCompressor(dict_data=entries, compression_params=settings)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        window = b" " + word + self.ballast
-        self[word] = out = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
-        return out
+    def of(self, text: bytes) -> list[int]:
+        ordinary, toxic = self.ordinary.compress, self.toxic.compress
+        windows = [text[i : i + WINDOW] for i in range(0, max(1, len(text) - WINDOW + STEP), STEP)]
+        return [len(ordinary(w)) - len(toxic(w)) for w in windows]
 
-    def highest(self, text: str | None) -> list[int]:
-        found = sorted(map(self.__getitem__, words_of(text)), reverse=True)[:TOP] if text else []
-        return found + [0] * (TOP - len(found))
+    def features(self, text: str | None) -> list[float]:
+        """The highest distances, and the logarithm of the number of windows: of many, some are high by chance."""
+        found = self.of(plain(text)) if text else []
+        top = sorted(found, reverse=True)[:TOP]
+        return [*top, *[0] * (TOP - len(top)), math.log1p(len(found))]
 
 
-def without_copies(texts: list[list[bytes]]) -> list[int]:
-    """Which texts share none of three MinHash values of 5-word shingles with an earlier one."""
+def without_copies(texts: list[bytes]) -> list[int]:
+    """Which texts share none of 12 MinHash values of 3-word shingles with an earlier one."""
     seen, out = set(), []
-    for i, words in enumerate(texts):
-        grams = np.array([zlib.crc32(b" ".join(words[p : p + 5])) for p in range(max(1, len(words) - 4))], np.uint64)
-        low = {(m, int((grams * np.uint64(m) % np.uint64(2**32)).min())) for m in (2654435761, 40503, 2246822519)}
+    for i, text in enumerate(texts):
+        words = text.split()
+        shingles = np.array([zlib.crc32(b" ".join(words[p : p + 3])) for p in range(max(1, len(words) - 2))], np.uint64)
+        lows = grams.mix(shingles[:, None] * np.uint64(2**32 + 15) + np.arange(12, dtype=np.uint64)).min(axis=0).tolist()
+        low = set(enumerate(lows))
         if not low & seen:
             out.append(i)
         seen |= low
     return out
 
 
+def stretches_of(text: bytes, size: int) -> np.ndarray:
+    """Hashes of all stretches of ``size`` bytes."""
+    return grams.gram_hashes(grams.BYTE_VALUES[0][np.frombuffer(text, np.uint8)], size, grams.MULTIPLIERS[0])
+
+
+def beyond_chance(toxic: np.ndarray, ordinary: np.ndarray, n_toxic: int, n_ordinary: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of document counts where toxic texts have a stretch eight times as often, else 0."""
+    expected = (toxic + ordinary) * n_toxic / (n_toxic + n_ordinary)
+    rest = toxic + ordinary - expected
+    ratio = 2 * (toxic * np.log(toxic / expected) + np.where(ordinary > 0, ordinary * np.log(np.maximum(ordinary, 1) / rest), 0))
+    much_oftener = (toxic + 0.5) / (n_toxic + 1) > 8 * (ordinary + 0.5) / (n_ordinary + 1)
+    return np.where(much_oftener, ratio, 0.0)
+
+
+def places_in(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where hashes stand in a sorted array, and whether they do."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return at, known[at] == hashes
+
+
+def telling(texts: list[bytes], others: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the stretches that ``texts`` share with each other far oftener than ``others`` have them; their scores."""
+    own = np.concatenate([np.zeros(0, np.uint64), *(np.unique(stretches_of(t, size)) for t in texts)])
+    known, count = np.unique(own, return_counts=True)
+    known, count = known[count > 1], count[count > 1]
+    against = np.zeros(len(known))
+    for text in others:
+        at, found = places_in(known, stretches_of(text, size))
+        against[np.unique(at[found])] += 1
+    score = beyond_chance(count.astype(float), against, len(texts), len(others))
+    keep = score > BEYOND_CHANCE + 2 * np.log(max(1, len(known)))
+    return known[keep], score[keep]
+
+
+def toxic_part(texts: list[bytes], others: list[bytes]) -> bytes:
+    """The telling stretches of toxic texts, the most telling last (next to the window).
+
+    A stretch counts only where it is about as telling as all that overlap it: so
+    what merely stands beside a telling word is left out.
+    """
+    scores, marks = [np.zeros(len(t)) for t in texts], []
+    for size in STRETCHES:
+        known, score = telling(texts, others, size)
+        for number, text in enumerate(texts):
+            at, found = places_in(known, stretches_of(text, size))
+            places = np.flatnonzero(found)
+            worth = score[at[places]]
+            for j in range(size):
+                scores[number][places + j] = np.maximum(scores[number][places + j], worth)
+            marks.append((number, size, places, worth))
+    chosen, kept = [np.zeros(len(t)) for t in texts], [[] for _ in texts]
+    for number, size, places, worth in marks:
+        best = np.max([scores[number][places + j] for j in range(size)], axis=0, initial=0) if len(places) else worth
+        keep = worth >= best / 2
+        for j in range(size):
+            chosen[number][places[keep] + j] = np.maximum(chosen[number][places[keep] + j], worth[keep])
+        kept[number] += [(p, size) for p in places[keep].tolist()]
+    found: dict[bytes, tuple[float, frozenset[bytes]]] = {}
+    for number, text in enumerate(texts):
+        edges = np.flatnonzero(np.diff(chosen[number] > 0, prepend=False, append=False))
+        starts = edges[::2]
+        inside: dict[int, set[bytes]] = {}
+        for p, size in kept[number]:
+            inside.setdefault(int(np.searchsorted(starts, p, side="right")) - 1, set()).add(text[p : p + size])
+        for i, (s, e) in enumerate(zip(starts.tolist(), edges[1::2].tolist(), strict=True)):
+            found[text[s:e]] = float(chosen[number][s:e].max()), frozenset(inside[i])
+    parts, size, have = [], 0, set()
+    least = TELLING_SHARE * max((worth for worth, _ in found.values()), default=0.0)
+    for part in sorted(found, key=lambda p: (-found[p][0], len(p), p)):
+        if found[part][0] >= least and size + len(part) <= TOXIC_BYTES and not found[part][1] <= have:
+            parts.append(part)
+            size += len(part)
+            have |= found[part][1]
+    return b"".join(reversed(parts))
+
+
+def ordinary_part(texts: list[bytes], segment: int = 64) -> bytes:
+    """The segment of each part of the sample whose 6-byte stretches are commonest and not yet covered."""
+    whole = np.frombuffer(b" ".join(texts), np.uint8)
+    if len(whole) < 2 * segment:
+        return whole.tobytes() + b" there was no ordinary text to learn from, so these words stand in for it"
+    hashes = stretches_of(whole.tobytes(), STRETCHES[0])
+    known, place, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    worth, out = count.astype(float), []
+    epoch = max(2 * segment, len(hashes) * segment // DICTIONARY)
+    for lo in range(0, len(hashes) - segment, epoch):
+        mine = place[lo : lo + epoch]
+        sums = np.concatenate([[0.0], np.cumsum(worth[mine])])
+        width = min(segment, len(mine))
+        best = int(np.argmax(sums[width:] - sums[:-width]))
+        worth[mine[best : best + width]] = 0
+        out.append(whole[lo + best : lo + best + segment].tobytes())
+    return b"".join(out)[:DICTIONARY]
+
+
 def train(sample: list[tuple[str, int]]) -> Model:
     """Two dictionaries and the calibration of distances, from (text, toxic) pairs.
 
-    The ordinary dictionary holds the commonest words of ordinary texts. The
-    toxic one holds the same, and before them the words that toxic texts have far
-    oftener. Copies of a text count once, so that a copied toxic text does not
-    bring in all its words.
+    The ordinary dictionary takes the commonest segments of ordinary texts. The
+    toxic one takes, before the same, the stretches of bytes that toxic texts
+    share with each other far beyond chance: words, phrases of ordinary words, or
+    what stands between no blanks. Copies of a text count once, so that a copied
+    toxic text does not bring in all it says.
     """
-    texts = [words_of(t) for t, _ in sample]
-    have, rows = [Counter(), Counter()], [0, 0]
-    for i in without_copies(texts):
-        label = sample[i][1]
-        have[label].update(set(texts[i]))
-        rows[label] += 1
-    scores = {}
-    for word, n in have[1].items():
-        odds = math.log((n + 0.5) / (rows[1] + 1)) - math.log((have[0][word] + 0.5) / (rows[0] + 1))
-        if len(word) >= 3 and n >= max(3, 0.01 * rows[1]) and odds > 3:
-            scores[word] = odds * math.sqrt(n)
-    marked = sorted(scores, key=lambda w: (scores[w], w))
-    common = sorted(have[0], key=lambda w: (-have[0][w], w))[:COMMON][::-1]
-    base = b" " + b" ".join(common) + b" no ordinary text at all was there to learn from, so this has to do here "
-    middle = len(base) // 2
-    base_only = Model(base, b" " + b" ".join(marked) + base, base[middle : middle + BALLAST], ())
-    distances = Distances(base_only)
-    x = np.array([distances.highest(t) for t, _ in sample], float).reshape(len(sample), TOP)
+    texts = [plain(t) for t, _ in sample]
+    different = without_copies(texts)
+    toxic, ordinary = ([texts[i] for i in different if sample[i][1] == label] for label in (1, 0))
+    dictionaries = Model(ordinary_part(ordinary), toxic_part(toxic, ordinary), ())
+    distances = Distances(dictionaries)
+    x = np.array([distances.features(t) for t, _ in sample], float).reshape(len(sample), TOP + 1)
     y = np.array([label for _, label in sample], float)
-    weights = fit_logistic(x, y) if len(sample) else np.zeros(TOP + 1)
-    return Model(base_only.ordinary, base_only.toxic, base_only.ballast, tuple(float(w) for w in weights))
+    weights = fit_logistic(x, y) if len(sample) else np.zeros(TOP + 2)
+    return Model(dictionaries.ordinary, dictionaries.toxic, tuple(float(w) for w in weights))
 
 
+@returning_memory
 def scores_of(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     distances, weights = Distances(model), np.array(model.weights)
     for batch in batches:
-        x = np.array([distances.highest(t.as_py()) for t in batch.column("text")], float).reshape(len(batch), TOP)
+        x = np.array([distances.features(t.as_py()) for t in batch.column("text")], float).reshape(len(batch), TOP + 1)
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(logistic(x, weights))],
             names=[*(c for c in batch.schema.names if c != "text"), "score"],
@@ -154,7 +247,7 @@ def toxic_score(model: Model) -> Callable[[Column], Column]:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         distances, weights = Distances(model), np.array(model.weights)
         for part in texts:
-            x = np.array([distances.highest(t) for t in part], float).reshape(len(part), TOP)
+            x = np.array([distances.features(t) for t in part], float).reshape(len(part), TOP + 1)
             yield pd.Series(logistic(x, weights))
 
     return score
