@@ -201,7 +201,7 @@ def classify_visa(
         for label, needed, confidence in reversed(steps):
             words = found[label]
             result = F.when(
-                F.size(words) >= needed, outcome(label, confidence, F.slice(words, 1, 3), "keywords")
+                F.size(words) >= needed, outcome(label, confidence, words, "keywords")
             ).otherwise(result)
         return result
 
@@ -258,6 +258,7 @@ def skills_in(text: Column, skills: list[str] = SKILLS, compat: bool = False, or
     return bind(tokens(text, 3 if compat else 1), look_up)
 
 
-def extract_skills(text: Column, limit: int = 5, skills: list[str] = SKILLS) -> Column:
-    """CLF8, deterministic default for a hosted extractor."""
-    return F.slice(skills_in(text, skills), 1, limit)
+def extract_skills(text: Column, limit: int | None = None, skills: list[str] = SKILLS) -> Column:
+    """CLF8, deterministic default for a hosted extractor: all skills, or the first ``limit`` of the dictionary's order."""
+    found = skills_in(text, skills)
+    return found if limit is None else F.slice(found, 1, limit)

@@ -188,18 +188,19 @@ def composite_key(*parts: Column) -> Column:
 
 
 def cache_key(question: Column, resume: Column | None = None, last_turn: Column | None = None) -> Column:
-    """STRF9: digest of the question, the head of the résumé and the last user turn."""
+    """STRF9: digest of the question, the résumé and the last user turn, all whole."""
     pieces = [strip(F.lower(question))]
     if resume is not None:
-        pieces.append(F.when(resume != "", F.concat(F.lit("|resume:"), F.substring(resume, 1, 200))))
+        pieces.append(F.when(resume != "", F.concat(F.lit("|resume:"), resume)))
     if last_turn is not None:
         pieces.append(F.concat(F.lit("|history:"), last_turn))
     return F.md5(F.concat(*[F.coalesce(p, F.lit("")) for p in pieces]))
 
 
-def embedding_text(title: Column, company: Column, description: Column) -> Column:
-    """STRF10"""
-    return F.concat(title, F.lit(". "), company, F.lit(". "), F.substring(description, 1, 2000))
+def embedding_text(title: Column, company: Column, description: Column, longest: int | None = None) -> Column:
+    """STRF10: the whole text, or the first ``longest`` characters of the description for a model that takes no more."""
+    body = description if longest is None else F.substring(description, 1, longest)
+    return F.concat(title, F.lit(". "), company, F.lit(". "), body)
 
 
 def skills_text(skills: Column, title: Column) -> Column:

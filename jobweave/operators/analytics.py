@@ -234,30 +234,26 @@ def top_skills(
 
 
 def dropdown(
-    df: DataFrame, column: str, stop: list[str], min_rows: int, pool: int, n: int
+    df: DataFrame, column: str, stop: list[str], min_rows: int, n: int
 ) -> DataFrame:
-    """AGG17: frequent values, from a pool of the most frequent, without stop words."""
-    pool_rows = (
-        df.filter(F.col(column) != "")
-        .groupBy(F.col(column).alias("name"))
+    """AGG17: the most frequent values without stop words and names of one or two characters."""
+    name = F.col(column)
+    return (
+        df.filter((name != "") & ~name.isin(stop) & (F.length(name) > 2))
+        .groupBy(name.alias("name"))
         .agg(_rows().alias("job_count"))
         .filter(F.col("job_count") >= min_rows)
         .orderBy(F.col("job_count").desc(), "name")
-        .limit(pool)
-    )
-    return (
-        pool_rows.filter(~F.col("name").isin(stop) & (F.length("name") > 2))
-        .orderBy(F.col("job_count").desc(), "name")
         .limit(n)
     )
 
 
 def companies_dropdown(jobs: DataFrame) -> DataFrame:
-    return dropdown(jobs, "company", flt.COMPANY_STOP, 5, 150, 100)
+    return dropdown(jobs, "company", flt.COMPANY_STOP, 5, 100)
 
 
 def locations_dropdown(jobs: DataFrame) -> DataFrame:
-    return dropdown(jobs, "location", flt.LOCATION_STOP, 10, 80, 50)
+    return dropdown(jobs, "location", flt.LOCATION_STOP, 10, 50)
 
 
 def standardize_locations(jobs: DataFrame, aliases: dict[str, str] = LOCATION_ALIASES, n: int = 50) -> DataFrame:

@@ -59,7 +59,6 @@ RESUME_TERMS = [
 DESTRUCTIVE_VERBS = ["DELETE", "DROP", "TRUNCATE", "ALTER", "CREATE", "INSERT", "UPDATE", "GRANT", "REVOKE"]
 DANGEROUS_TOKENS = [";", "--", "/*", "*/", "xp_", "sp_"]
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-SALARY_CEILING = 500_000
 # ------------------------------------------------------------ end fixed values
 
 
@@ -103,12 +102,12 @@ def sponsorship(choice: str) -> Column:
     return {"Yes": sponsor, "No": ~sponsor}.get(choice, F.lit(True))
 
 
-def salary_range(low: float | None = None, high: float | None = None) -> Column:
-    """FLT5"""
+def salary_range(low: float | None = None, high: float | None = None, open_from: float | None = None) -> Column:
+    """FLT5; a caller whose highest choice means no limit says from which maximum on in ``open_from``."""
     ok = F.lit(True)
     if low:
         ok = ok & ((F.col("salary_min") >= low) | (F.col("salary_max") >= low))
-    if high and high < SALARY_CEILING:
+    if high and (open_from is None or high < open_from):
         ok = ok & (
             (F.col("salary_max") <= high) | (F.col("salary_max").isNull() & (F.col("salary_min") <= high))
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave import schemas
@@ -49,6 +49,27 @@ def layer_row_counts(layers: dict[str, DataFrame], mart: str | None = None) -> D
     return report.withColumn("empty_mart", (F.col("layer") == F.lit(mart or "")) & (F.col("row_count") == 0))
 
 
+def observed_write(df: DataFrame, path: str, name: str) -> tuple[DataFrame, int]:
+    """DQ3: writes a layer and counts its rows in the same pass; the stored layer and the count."""
+    seen = Observation(name)
+    df.observe(seen, F.count(F.lit(1)).alias("row_count")).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get.get("row_count", 0)
+
+
+def record_run(spark: SparkSession, path: str, run: str, counts: dict[str, int]) -> None:
+    """Appends a run's row counts by layer to the metrics table. Runs sort by name."""
+    rows = [(run, layer, n) for layer, n in counts.items()]
+    spark.createDataFrame(rows, "run string, layer string, row_count long").coalesce(1).write.mode("append").parquet(path)
+
+
+def run_report(spark: SparkSession, path: str, run: str, mart: str, threshold: float = 0.2) -> DataFrame:
+    """DQ3, DQ4: a run's layers against those of the last run before it; ``empty_mart`` warns of a mart without rows."""
+    metrics = spark.read.parquet(path)
+    last = metrics.where(F.col("run") < run).agg(F.max("run")).scalar()
+    report = row_drop_alert(metrics.where(F.col("run") == run), metrics.where(F.col("run") == last), threshold=threshold)
+    return report.withColumn("empty_mart", (F.col("layer") == mart) & (F.col("row_count") == 0))
+
+
 def row_drop_alert(current: DataFrame, previous: DataFrame, key: str = "layer", threshold: float = 0.2) -> DataFrame:
     """DQ4: layers that lost more than a fifth of their rows."""
     old = previous.select(key, F.col("row_count").alias("previous_count"))

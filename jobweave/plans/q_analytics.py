@@ -254,7 +254,7 @@ def salary_by_role(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "companies_dropdown",
     f"""WITH {JOBS_SQL}, p AS (SELECT company AS name, count(*) AS job_count FROM jobs WHERE company <> '' GROUP BY 1
-      HAVING count(*) >= 5 ORDER BY job_count DESC, name LIMIT 150)
+      HAVING count(*) >= 5)
     SELECT name, job_count FROM p WHERE name NOT IN {sql_list(flt.COMPANY_STOP)} AND length(name) > 2
     ORDER BY job_count DESC, name LIMIT 100""",
 )
@@ -265,7 +265,7 @@ def companies_dropdown(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "locations_dropdown",
     f"""WITH {JOBS_SQL}, p AS (SELECT location AS name, count(*) AS job_count FROM jobs WHERE location <> '' GROUP BY 1
-      HAVING count(*) >= 10 ORDER BY job_count DESC, name LIMIT 80)
+      HAVING count(*) >= 10)
     SELECT name, job_count FROM p WHERE name NOT IN {sql_list(flt.LOCATION_STOP)} AND length(name) > 2
     ORDER BY job_count DESC, name LIMIT 50""",
 )

@@ -435,11 +435,11 @@ def search_by_terms_fallback(spark: SparkSession, d: str) -> DataFrame:
 COSINE_SQL = """pairs AS (
   SELECT q.vec_id AS query_id, i.vec_id AS item_id, i.label AS item_label, q.label AS query_label,
     round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS score
-  FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id WHERE q.label = 3)"""
+  FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id)"""
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").filter(F_("label") == 3).withColumnRenamed("vec_id", "query_id")
+    return read(spark, d, "embeddings").withColumnRenamed("vec_id", "query_id")
 
 
 @query(

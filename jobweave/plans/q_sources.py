@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from jobweave import schemas
 from jobweave.operators import quality as dq
+from jobweave.operators import sponsors as sp
 from jobweave.operators import staging as st
 from jobweave.plans.q_staging import STAGED_SQL
 from jobweave.plans.q_text import STATE_SQL, talks
@@ -162,11 +163,11 @@ def append_and_replace(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "write_outputs",
-    f"WITH {JOBS_RAW_SQL} SELECT title, company, url, NULL AS salary FROM jobs_raw WHERE scraped_at >= DATE '{AS_OF}'",
+    f"WITH {JOBS_RAW_SQL} SELECT title, company, url, NULL AS salary FROM jobs_raw",
 )
 def write_outputs(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "outputs")
-    sinks.write_outputs(jobs_raw(spark, d).filter(C("scraped_at") >= F.lit(AS_OF).cast("date")), path)
+    sinks.write_outputs(jobs_raw(spark, d), path)
     out = spark.read.csv(
         f"{path}/csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         schema=", ".join(f"{c} string" for c in sinks.EXPORT_COLUMNS),
@@ -277,45 +278,98 @@ def duplicate_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_LAYERS_SQL = f"""WITH {STAGED_SQL}, layers AS (
-  SELECT 'raw' AS layer, count(*) AS row_count FROM jobs_raw UNION ALL SELECT 'staging', count(*) FROM staged
-  UNION ALL SELECT 'dedup', count(DISTINCT (job_id, source)) FROM staged
-  UNION ALL SELECT 'mart', count(*) FROM staged WHERE title = 'none')"""
+LATER = "2001-07-20"
+_LAYERS_SQL = f"""WITH {JOBS_RAW_SQL}, runs(run, as_of) AS (VALUES ('1', DATE '{AS_OF}'), ('2', DATE '{LATER}')),
+  staged AS (SELECT run, jobs_raw.* FROM runs JOIN jobs_raw ON job_id IS NOT NULL AND title IS NOT NULL AND trim(company) <> ''
+    AND scraped_at >= as_of - INTERVAL 90 DAY),
+  layers AS (SELECT run, 'raw' AS layer, (SELECT count(*) FROM jobs_raw) AS row_count FROM runs
+    UNION ALL SELECT run, 'staging', (SELECT count(*) FROM staged s WHERE s.run = r.run) FROM runs r
+    UNION ALL SELECT run, 'dedup', (SELECT count(DISTINCT (job_id, source)) FROM staged s WHERE s.run = r.run) FROM runs r
+    UNION ALL SELECT run, 'mart', (SELECT count(DISTINCT (job_id, source)) FROM staged s WHERE s.run = r.run) FROM runs r)"""
 
 
-def layers(spark: SparkSession, d: str) -> DataFrame:
-    raw = jobs_raw(spark, d)
-    staged = st.stage_jobs(raw, AS_OF)
-    return dq.layer_row_counts(
-        {
-            "raw": raw,
-            "staging": staged,
-            "dedup": st.latest_per_key(staged, ["job_id", "source"], ["scraped_at"], ["url"]),
-            "mart": staged.filter(C("title") == "none"),
-        },
-        "mart",
-    )
+def run_layers(spark: SparkSession, d: str, metrics: str, run: str, as_of: str) -> None:
+    """One run of the models: each layer is written once, counted as it is written, and read by the next."""
+    root, counts = new_path(spark, f"run-{run}"), {}
+
+    def layer(name: str, df: DataFrame) -> DataFrame:
+        stored, counts[name] = dq.observed_write(df, f"{root}/{name}", f"{name}-{run}")
+        return stored
+
+    staged = layer("staging", st.stage_jobs(layer("raw", jobs_raw(spark, d)), as_of))
+    latest = layer("dedup", st.latest_per_key(staged, ["job_id", "source"], ["scraped_at"], ["url"]))
+    layer("mart", st.build_mart(sp.match_sponsors(latest, sp.employer_summary(ad.filings(spark, d))), as_of))
+    dq.record_run(spark, metrics, run, counts)
 
 
-@query("layer_row_counts", f"{_LAYERS_SQL} SELECT layer, row_count, layer = 'mart' AND row_count = 0 AS empty_mart FROM layers")
+def two_runs(spark: SparkSession, d: str) -> str:
+    metrics = new_path(spark, "metrics")
+    run_layers(spark, d, metrics, "1", AS_OF)
+    run_layers(spark, d, metrics, "2", LATER)
+    return metrics
+
+
+@query("layer_row_counts", f"{_LAYERS_SQL} SELECT run, layer, row_count FROM layers")
 def layer_row_counts(spark: SparkSession, d: str) -> DataFrame:
-    return layers(spark, d)
+    return spark.read.parquet(two_runs(spark, d))
 
 
 @query(
     "row_drop_alert",
-    f"""{_LAYERS_SQL}, old AS (SELECT layer, CASE layer WHEN 'raw' THEN row_count WHEN 'mart' THEN 10
-      ELSE row_count * 2 END AS previous_count FROM layers)
+    f"""{_LAYERS_SQL}, old AS (SELECT layer, row_count AS previous_count FROM layers WHERE run = '1')
     SELECT layer, row_count, previous_count, round((previous_count - row_count)::DOUBLE / previous_count, 4) AS dropped,
-      (previous_count - row_count)::DOUBLE / previous_count > 0.2 AS alert FROM layers JOIN old USING (layer)""",
+      coalesce((previous_count - row_count)::DOUBLE / nullif(previous_count, 0) > 0.2, false) AS alert,
+      layer = 'mart' AND row_count = 0 AS empty_mart
+    FROM (SELECT * FROM layers WHERE run = '2') JOIN old USING (layer)""",
 )
 def row_drop_alert(spark: SparkSession, d: str) -> DataFrame:
-    now = layers(spark, d)
-    before = now.withColumn(
-        "row_count",
-        F.when(C("layer") == "raw", C("row_count")).when(C("layer") == "mart", 10).otherwise(C("row_count") * 2),
-    )
-    return dq.row_drop_alert(now, before)
+    return dq.run_report(spark, two_runs(spark, d), "2", "mart")
+
+
+@query(
+    "rejected_rows",
+    """SELECT 'json' AS feed, CASE WHEN event_id % 9 = 0 THEN 'not JSON' END AS reason, count(*) AS n FROM events GROUP BY ALL
+    UNION ALL SELECT 'csv', CASE WHEN event_id % 13 = 0 THEN 'fields do not fit' WHEN event_id % 7 = 0 THEN 'no worksite state' END,
+      count(*) FROM events GROUP BY ALL""",
+)
+def rejected_rows(spark: SparkSession, d: str) -> DataFrame:
+    """SRC2, SRC5: broken rows come back as rows with a reason; good and bad make up all that was written."""
+    events, n = read(spark, d, "events"), C("event_id")
+    lines, table = new_path(spark, "json-lines"), new_path(spark, "csv-rows")
+    doc = F.to_json(F.struct("event_id", C("event_type").alias("source"), "props"))
+    events.select(F.when(n % 9 == 0, F.concat(F.lit("{oops "), doc)).otherwise(doc).alias("value")).write.text(lines)
+    # a quoted line break belongs to its row; some rows have a field too many
+    state = F.when(n % 7 == 0, "").otherwise('"M\nA"')
+    row = F.concat_ws(",", n.cast("string"), state, F.when(n % 13 == 0, "x,y").otherwise("x"))
+    events.select(row.alias("value")).write.text(table)
+    good, bad = files.copy_json_rows(spark, lines, AS_OF)
+    schema = T.StructType.fromDDL("event_id string, worksite_state string, note string")
+    rows, rejects = lca_without_header(spark, table, schema)
+    parts = [("json", good, None), ("json", bad, "reject_reason"), ("csv", rows, None), ("csv", rejects, "reject_reason")]
+    out = None
+    for feed, df, reason in parts:
+        named = df.select(F.lit(feed).alias("feed"), (C(reason) if reason else F.lit(None).cast("string")).alias("reason"))
+        out = named if out is None else out.unionByName(named)
+    return out.groupBy("feed", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lca_without_header(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    return files.read_lca_rows(spark, path, schema, "worksite_state", header=False)
+
+
+@query(
+    "schema_drift",
+    """SELECT event_type AS source, field, count(*) AS records FROM (
+      SELECT event_type, unnest(['props', 'extra'] || CASE WHEN event_id % 2 = 0 THEN ['nested'] ELSE [] END) AS field FROM events) GROUP BY ALL""",
+)
+def schema_drift(spark: SparkSession, d: str) -> DataFrame:
+    """SRC1: fields outside the schema stay in the record and are reported per feed."""
+    path = new_path(spark, "drift")
+    nested = F.when(C("event_id") % 2 == 0, F.struct(C("value").alias("v")))
+    read(spark, d, "events").select(
+        C("event_id").cast("string").alias("job_id"), C("event_type").alias("source"), "props", F.lit(1).alias("extra"), nested.alias("nested")
+    ).write.json(path)
+    return files.schema_drift(files.read_records(spark, path))
 
 
 @query(

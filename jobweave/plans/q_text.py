@@ -134,8 +134,8 @@ def classify_documents(spark: SparkSession, d: str) -> DataFrame:
     SELECT url, CASE WHEN h1b_sponsored = 'Yes' THEN 'H-1B' WHEN is_new_grad = 'Yes' THEN 'OPT' ELSE {_VISA_SQL} END AS visa_category,
       CASE WHEN h1b_sponsored = 'Yes' THEN 0.95::DOUBLE WHEN is_new_grad = 'Yes' THEN 0.85::DOUBLE ELSE {_CONF_SQL} END AS confidence,
       CASE WHEN h1b_sponsored = 'Yes' OR is_new_grad = 'Yes' THEN 'explicit' ELSE 'keywords' END AS method,
-      CASE WHEN h1b_sponsored = 'Yes' OR is_new_grad = 'Yes' THEN 1 WHEN us >= 1 THEN least(us, 3)
-        WHEN cpt >= 1 THEN least(cpt, 3) WHEN h1b >= 1 THEN least(h1b, 3) ELSE least(opt, 3) END AS signals FROM c""",
+      CASE WHEN h1b_sponsored = 'Yes' OR is_new_grad = 'Yes' THEN 1 WHEN us >= 1 THEN us
+        WHEN cpt >= 1 THEN cpt WHEN h1b >= 1 THEN h1b ELSE opt END AS signals FROM c""",
 )
 def classify_visa(spark: SparkSession, d: str) -> DataFrame:
     answer = rules.classify_visa(F.concat_ws(" ", "title", "description"), C("h1b_sponsored"), C("is_new_grad"))
@@ -224,8 +224,8 @@ def top_skills_compat(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "extract_skills",
     f"""{_SKILL_SQL}, o AS (SELECT url, skill, list_position({[*_SINGLE, 'COMPUTER VISION', 'DEEP LEARNING']}, skill) AS p FROM m)
-    SELECT j.url, coalesce(string_agg(skill, ',' ORDER BY p) FILTER (rn <= 5), '') AS skills
-    FROM jobs_raw j LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY url ORDER BY p) AS rn FROM o) o ON j.url = o.url
+    SELECT j.url, coalesce(string_agg(skill, ',' ORDER BY p), '') AS skills
+    FROM jobs_raw j LEFT JOIN o ON j.url = o.url
     GROUP BY j.url""",
 )
 def extract_skills(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +361,7 @@ def clean_model_json(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "cache_keys",
     """SELECT conv_id, turn, conv_id || '_' || turn AS pair_key,
-      md5(lower(trim(text)) || '|resume:' || left(text, 200) || '|history:' || role) AS cache_key FROM conversations""",
+      md5(lower(trim(text)) || '|resume:' || text || '|history:' || role) AS cache_key FROM conversations""",
 )
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return read_spread(spark, d, "conversations").select(
@@ -373,7 +373,7 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "embedding_text",
-    f"""WITH {JOBS_RAW_SQL} SELECT url, title || '. ' || company || '. ' || left(description, 2000) AS body,
+    f"""WITH {JOBS_RAW_SQL} SELECT url, title || '. ' || company || '. ' || description AS body,
       coalesce(qualifications, title) AS skills FROM jobs_raw""",
 )
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
@@ -520,12 +520,12 @@ def page_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CASCADE_A = "SELECT o_custkey AS page_id, o_orderkey AS pos, o_orderpriority AS title, o_orderstatus AS location, 0 AS strategy FROM orders"
-_CASCADE_B = "SELECT l_suppkey AS page_id, l_orderkey * 10 + l_linenumber AS pos, upper(l_returnflag) AS title, l_linestatus AS location, 1 AS strategy FROM lineitem WHERE l_quantity < 1.5"
+_CASCADE_B = "SELECT l_suppkey AS page_id, l_orderkey * 10 + l_linenumber AS pos, upper(l_returnflag) AS title, l_linestatus AS location, 1 AS strategy FROM lineitem"
 
 
 @query(
     "strategy_cascade",
-    f"""WITH r AS (SELECT * FROM ({_CASCADE_A}) WHERE page_id % 3 <> 0 UNION ALL {_CASCADE_B}),
+    f"""WITH r AS ({_CASCADE_A} UNION ALL {_CASCADE_B}),
       c AS (SELECT page_id, CASE WHEN count(*) FILTER (strategy = 0) >= 12 THEN 0
         WHEN count(*) FILTER (strategy = 1) >= 12 THEN 1 END AS chosen FROM r GROUP BY 1),
       t AS (SELECT r.*, chosen FROM r JOIN c USING (page_id)),
@@ -536,11 +536,11 @@ _CASCADE_B = "SELECT l_suppkey AS page_id, l_orderkey * 10 + l_linenumber AS pos
     UNION ALL SELECT page_id, strategy, title, location FROM m WHERE size >= 3""",
 )
 def strategy_cascade(spark: SparkSession, d: str) -> DataFrame:
-    first = read(spark, d, "orders").filter(C("o_custkey") % 3 != 0).select(
+    first = read(spark, d, "orders").select(
         C("o_custkey").alias("page_id"), C("o_orderkey").alias("pos"), C("o_orderpriority").alias("title"),
         C("o_orderstatus").alias("location"),
     )
-    second = read(spark, d, "lineitem").filter(C("l_quantity") < 1.5).select(
+    second = read(spark, d, "lineitem").select(
         C("l_suppkey").alias("page_id"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("pos"),
         F.upper("l_returnflag").alias("title"), C("l_linestatus").alias("location"),
     )

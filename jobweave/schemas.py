@@ -34,9 +34,9 @@ JOBS_RAW = T.StructType(
     ]
 )
 
-# Longest text kept per column on load.
+# Longest text per column that a store with fixed widths takes; keys are never shortened.
 MAX_LENGTHS = {
-    "job_id": 500, "url": 1000, "title": 500, "company": 500, "location": 500, "description": 15_000_000,
+    "title": 500, "company": 500, "location": 500, "description": 15_000_000,
     "snippet": 5000, "salary_text": 500, "job_type": 200, "posted_date": 50, "work_model": 100,
     "department": 200, "company_size": 100, "qualifications": 15_000_000, "category": 200, "source": 200,
 }

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobweave.operators import analytics as an
 from jobweave.operators import conversations as cv
@@ -15,6 +16,7 @@ from jobweave.operators import filters as flt
 from jobweave.operators import incremental as inc
 from jobweave.operators import matching as mt
 from jobweave.operators import pages as pg
+from jobweave.operators import quality as dq
 from jobweave.operators import search as se
 from jobweave.operators import sponsors as sp
 from jobweave.operators import staging as st
@@ -134,7 +136,8 @@ def test_filters_on_nulls_and_bounds(spark):
     )
     assert rows_of(df.filter(flt.salary_range(40, None)), "id") == [(2,), (3,)]
     assert rows_of(df.filter(flt.salary_range(None, 55)), "id") == [(1,), (2,)]
-    assert len(rows_of(df.filter(flt.salary_range(None, 600_000)), "id")) == 4
+    assert rows_of(df.filter(flt.salary_range(None, 600_000)), "id") == [(1,), (2,), (3,)]
+    assert len(rows_of(df.filter(flt.salary_range(None, 600_000, open_from=500_000)), "id")) == 4
 
 
 def test_literal_wildcards(spark):
@@ -403,6 +406,37 @@ def test_array_file_keeps_the_record(spark, tmp_path):
     assert '"title":"T"' in df.filter("job_id = '1'").first()["raw_json"]
 
 
+def test_records_keep_unknown_fields_and_rejects(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"job_id": "1", "extra": {"x": [1, 2]}, "source": "s", "scraped_at": "2024-01-02T03:04:05"}\n{bad\n{"job_id": 2, "salary_min": "n/a", "source": "t"}\n')
+    records = files.read_records(spark, str(tmp_path / "a.json"))
+    typed = {r.job_id: r for r in files.typed_records(records).collect()}
+    assert '"extra":{"x":[1,2]}' in typed["1"].raw_json and typed["1"].scraped_at == dt.datetime(2024, 1, 2, 3, 4, 5)
+    assert typed["2"].salary_min is None and len(typed) == 2
+    assert [(r.corrupt, r.file.endswith("a.json")) for r in records.where("record is null").collect()] == [("{bad", True)]
+    assert rows_of(files.schema_drift(records), "source", "field", "records") == [("s", "extra", 1)]
+
+
+def test_csv_rejects(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('A,WORKSITE_STATE\n1,"N\nY"\n2,\n3,MA,more\n4\n5,CA\n')
+    schema = T.StructType.fromDDL("A string, WORKSITE_STATE string")
+    good, bad = files.read_lca_rows(spark, str(tmp_path / "f.csv"), schema)
+    assert rows_of(good, "A", "WORKSITE_STATE") == [("1", "N\nY"), ("5", "CA")]
+    assert rows_of(bad, "A", "reject_reason") == [("2", "no worksite state"), ("3", "fields do not fit"), ("4", "fields do not fit")]
+    loose, bad = files.read_lca_rows(spark, str(tmp_path / "f.csv"), schema, strict=False)
+    assert (loose.count(), bad.count()) == (3, 2)
+
+
+def test_observed_layers(spark, tmp_path):
+    metrics = str(tmp_path / "metrics")
+    for run, n in (("1", 10), ("2", 0)):
+        stored, count = dq.observed_write(spark.range(n).where("id >= 0"), str(tmp_path / run), f"layer-{run}")
+        assert stored.count() == count == n
+        dq.record_run(spark, metrics, run, {"mart": count, "raw": 10})
+    report = {r.layer: (r.row_count, r.previous_count, r.alert, r.empty_mart) for r in dq.run_report(spark, metrics, "2", "mart").collect()}
+    assert report == {"mart": (0, 10, True, True), "raw": (10, 10, False, False)}
+    assert dq.run_report(spark, metrics, "1", "mart").count() == 0
+
+
 def test_old_partitions_are_dropped(spark):
     df = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 30))], "id int, d date")
     spark.sql("drop table if exists two_days")
