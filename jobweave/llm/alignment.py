@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm import grams
-from jobweave.llm.store import id_of, keyed, stored
+from jobweave.llm.store import id_of, keyed, returning_memory, stored
 
 #: Bytes of text aligned together; words of a document that advance as one lane.
 BLOCK, LANE = 1 << 21, 256
 #: Bytes that a task's remembered words may take, about.
-REMEMBERED = 80 << 20
+REMEMBERED = 160 << 20
 #: How the byte-level tokenizer cuts a text into stretches that it then merges (fixed by its vocabulary).
 STRETCHES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space and the word after it. No token of A or B reaches over the end of such a word.
@@ -67,10 +68,10 @@ class Tokenizers:
         ]
         if max(len(self.a_bytes), len(pieces)) > 1 << 16:
             raise ValueError("ids of more than 16 bits")
+        self.lengths = [np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes)]
         self.by_word = not any(re.search(f"[^{SPACE}\n][{SPACE}\n]", p) for p in pieces)
         self.space = self.b.piece_to_id(SPACE)
-        self.a_words: dict[str, bytes] = {}
-        self.b_words: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.uneven: set[str] = set()
         self.taken = 0
 
@@ -80,25 +81,36 @@ class Tokenizers:
         return b"".join(map(self.a_bytes.__getitem__, ids[0])), b"".join(map(self.b_bytes.__getitem__, ids[1]))
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.a_words.keys()
+        new = words - self.known.keys()
         if self.taken > REMEMBERED:
-            self.a_words.clear()
-            self.b_words.clear()
+            self.known.clear()
             self.uneven.clear()
             self.taken, new = 0, words
         new = list(new)
         # B puts a space before what it gets: the word's own, or one that is taken off again
-        for word, ids in zip(new, self.b.encode([w[1:] if w[0] == " " else w for w in new], num_threads=1), strict=True):
+        pieces = self.b.encode([w[1:] if w[0] == " " else w for w in new], num_threads=1)
+        for i, word in enumerate(new):
             if word[0] != " ":
-                if not ids or ids[0] != self.space:
+                if pieces[i][:1] != [self.space]:
                     self.uneven.add(word)
-                ids = ids[1:]
-            a = np.array(self.a.encode_ordinary(word), np.uint16).tobytes()
-            b = np.array(ids, np.uint16).tobytes()
-            if self.joined(a, b) != (raw := word.encode(), raw):
-                self.uneven.add(word)
-            self.a_words[word], self.b_words[word] = a, b
-            self.taken += 400 + len(word) + len(a) + len(b)
+                pieces[i] = pieces[i][1:]
+        encode = self.a.encode_ordinary
+        a = [array("H", encode(w)).tobytes() for w in new]
+        b = [array("H", ids).tobytes() for ids in pieces]
+        raw = [w.encode() for w in new]
+        # all words at once; word by word only where the bytes differ somewhere
+        sizes = np.array([len(r) for r in raw], np.int64)
+        same = self.joined(b"".join(a), b"".join(b)) == (whole := b"".join(raw), whole)
+        if not same or not all((self.widths(i, ids) == sizes).all() for i, ids in enumerate((a, b))):
+            self.uneven.update(w for w, x, y, r in zip(new, a, b, raw, strict=True) if self.joined(x, y) != (r, r))
+        self.known.update(zip(new, zip(a, b, strict=True), strict=True))
+        self.taken += sum(map(len, a)) + sum(map(len, b)) + int(sizes.sum()) + 350 * len(new)
+
+    def widths(self, which: int, ids: list[bytes]) -> np.ndarray:
+        """The bytes that each run of 16-bit ids stands for, by A (0) or B (1)."""
+        ends = np.concatenate([[0], np.cumsum(np.array([len(x) // 2 for x in ids], np.int64))])
+        sums = np.concatenate([[0], np.cumsum(self.lengths[which][np.frombuffer(b"".join(ids), np.uint16)])])
+        return sums[ends[1:]] - sums[ends[:-1]]
 
     def whole(self, text: str) -> list[tuple[bytes, bytes]]:
         """The ids of a text tokenized in one go; none where the bytes of its tokens aren't its own."""
@@ -117,8 +129,9 @@ class Tokenizers:
             elif mine is None or not self.uneven.isdisjoint(mine):
                 out.append(self.whole(text))
             else:
-                parts = (mine[i : i + LANE] for i in range(0, len(mine), LANE))
-                out.append([(b"".join(map(self.a_words.__getitem__, p)), b"".join(map(self.b_words.__getitem__, p))) for p in parts])
+                ids = list(map(self.known.__getitem__, mine))
+                parts = (ids[i : i + LANE] for i in range(0, len(ids), LANE))
+                out.append([(b"".join([a for a, _ in p]), b"".join([b for _, b in p])) for p in parts])
         return out
 
 
@@ -158,7 +171,9 @@ class Writer:
 
     def __init__(self, ids: int):
         self.ids = ids
-        self.parts = [b"%d%s" % (i, sign) for sign in (b",", b"|", b";", b"") for i in range(ids)]
+        parts = [b"%d%s" % (i, sign) for sign in (b",", b"|", b";", b"") for i in range(ids)]
+        self.rows = np.array(parts).view(np.uint8).reshape(len(parts), -1)  # filled up with zeros
+        self.widths = (self.rows > 0).sum(axis=1)
 
     def codes(self, a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Codes of all tokens, group by group, A before B; ``ends``: number of B tokens up to the end of each document."""
@@ -172,8 +187,12 @@ class Writer:
         out[np.arange(len(b_ids)) + a_stop[group_b]] = b_ids + self.ids * sign
         return out
 
-    def text(self, codes: np.ndarray) -> bytes:
-        return b"".join(map(self.parts.__getitem__, codes.tolist()))
+    def texts(self, codes: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The written codes, cut after each number of codes in ``ends``."""
+        written = self.rows[codes].ravel()
+        whole = written[written > 0].tobytes()
+        at = np.concatenate([[0], np.cumsum(self.widths[codes])])[ends].tolist()
+        return [whole[s:e] for s, e in zip([0, *at], at)]
 
 
 LIST = pa.list_(pa.int32())
@@ -196,12 +215,11 @@ def align_block(known: Tokenizers, writer: Writer, texts: list[str | None], with
     sizes = np.array([(len(a) // 2, len(b) // 2) for a, b in flat], np.int64).reshape(-1, 2)
     a_first, b_first = (np.concatenate([[0], np.cumsum(sizes[:, i])]) for i in (0, 1))
     a_ids, b_ids = (np.frombuffer(b"".join(lane[i] for lane in flat), np.uint16).astype(np.int64) for i in (0, 1))
-    lengths = [np.array([len(x) for x in table], np.int64) for table in (known.a_bytes, known.b_bytes)]
-    link_a, link_b, a_last, b_last = lockstep(np.cumsum(lengths[0][a_ids]), np.cumsum(lengths[1][b_ids]), a_first, b_first)
+    link_a, link_b, a_last, b_last = lockstep(np.cumsum(known.lengths[0][a_ids]), np.cumsum(known.lengths[1][b_ids]), a_first, b_first)
     lane_ends = np.concatenate([[0], np.cumsum(per_document)])
     a_ends, b_ends = a_first[lane_ends], b_first[lane_ends]  # of the documents
     codes = writer.codes(a_ids, b_ids, a_last, b_last, b_ends[1:])
-    texts_of_groups = [writer.text(codes[s:e]) for s, e in zip((a_ends + b_ends)[:-1], (a_ends + b_ends)[1:], strict=True)]
+    texts_of_groups = writer.texts(codes, (a_ends + b_ends)[1:])
     groups = np.concatenate([[0], np.cumsum(a_last)])
     document = np.searchsorted(a_ends, link_a, side="right") - 1
     pairs, times = np.unique(document.astype(np.uint64) << np.uint64(32) | (a_ids[link_a] << 16 | b_ids[link_b]).astype(np.uint64), return_counts=True)
@@ -219,6 +237,7 @@ def align_block(known: Tokenizers, writer: Writer, texts: list[str | None], with
     }
 
 
+@returning_memory
 def align_batches(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], with_groups: bool) -> Iterator[pa.RecordBatch]:
     """A row per document, and after those of a block one row (no key) with the block's pairs."""
     known = Tokenizers(*paths)
