@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from jobweave.llm import grams
 from jobweave.llm.repeats import FOUND, OPEN, SEEN, gathered, lists_of, repeated, settled
-from jobweave.llm.store import id_of, keyed, stored
+from jobweave.llm.store import id_of, keyed, returning_memory, stored
 
 SPAN = 35
 GRAM = 16
 
 
+@returning_memory
 def edges_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """The single edges (128-bit hashes of ``span`` words) of the bundles listed for each document."""
     for batch in batches:
@@ -87,6 +88,7 @@ def repeated_paths(documents: DataFrame, span: int = SPAN, gram: int = GRAM) ->
     )
 
 
+@returning_memory
 def kept_words(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         places, ends = lists_of(batch.column("places"), np.int64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.store import id_of, keyed
+from jobweave.llm.store import id_of, keyed, returning_memory
 
 
 @dataclass(frozen=True)
@@ -334,6 +334,7 @@ FOUND = "array<struct<label: string, first: long, end: long, weight: double, bas
 PLACE = pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("weight", pa.float64()), ("base", pa.bool_())])
 
 
+@returning_memory
 def scan_batches(batches: Iterator[pa.RecordBatch], rules: Sequence[Rule]) -> Iterator[pa.RecordBatch]:
     scanner = Scanner(rules)
     for batch in batches:

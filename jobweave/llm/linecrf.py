@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from jobweave.llm import grams
 from jobweave.llm.labelled import fit_logistic, logistic, training_sample
-from jobweave.llm.store import keyed
+from jobweave.llm.store import keyed, returning_memory
 from jobweave.llm.toxicity import held_out_key
 
 #: Labelled documents to learn from, and the longest of them in characters.
@@ -192,6 +192,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
     return Model(line, step, weights)
 
 
+@returning_memory
 def scores_of(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.zeros(0)]

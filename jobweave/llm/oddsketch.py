@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from jobweave.llm import grams
 from jobweave.llm.graph import components
-from jobweave.llm.store import id_of, keyed, stored
+from jobweave.llm.store import id_of, keyed, returning_memory, stored
 
 #: MinHash values for the bands, and for the sketches of texts that share a band with another.
 BANDED, SAMPLES = 128, 2048
@@ -90,6 +90,7 @@ def sets_in(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarr
         yield lo, hi, *shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
 
 
+@returning_memory
 def signatures(batches: Iterator[pa.RecordBatch], shingle: int, rows: int) -> Iterator[pa.RecordBatch]:
     """Per document: size and 128-bit identity of its set, and band keys (null for an empty set)."""
     for batch in batches:
@@ -120,6 +121,7 @@ def signatures(batches: Iterator[pa.RecordBatch], shingle: int, rows: int) -> It
             )
 
 
+@returning_memory
 def sketched(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Size of the set, sketch and bands of each node, from its (not empty) text."""
     for batch in batches:
@@ -146,6 +148,7 @@ def close_enough(a: str, b: str, similarity: float) -> Column:
     return sizes & (odd_bits(a, b) <= most_differing(similarity))
 
 
+@returning_memory
 def cross_pairs(batches: Iterator[pa.RecordBatch], similarity: float, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of one cell (left rows first, sorted) from different components that the sketches don't rule out.
 
@@ -199,6 +202,7 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], similarity: float, nearest: b
             )
 
 
+@returning_memory
 def confirm(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Exact similarity of the full shingle sets of text pairs."""
     percent = round(similarity * 10_000)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm import grams
-from jobweave.llm.store import id_of, keyed
+from jobweave.llm.store import id_of, keyed, returning_memory
 
 SHORTEST = 12
 RUN = "array<struct<start: long, length: long, period: long>>"
@@ -253,6 +253,7 @@ def collapsed(words: list[bytes], runs: np.ndarray) -> list[bytes]:
     return [w for w, x in zip(words, (np.cumsum(edges[:-1]) > 0).tolist(), strict=True) if not x]
 
 
+@returning_memory
 def runs_of_batches(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
     run_type = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))
     for batch in batches:

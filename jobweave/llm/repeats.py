@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm import grams
-from jobweave.llm.store import stored
+from jobweave.llm.store import returning_memory, stored
 
 RUNS = "gram long, body long, key long, mark long, place long"
 #: What is known of a bundle in ``gathered``: seen elsewhere, not settled by whole bundles, or windows found equal.
@@ -53,6 +53,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, span: int, words: bool):
 def bundles(documents: DataFrame, span: int, gram: int, words: bool) -> DataFrame:
     """One row per bundle of windows of ``keyed`` documents."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = grams.text_bytes(batch.column("text"))

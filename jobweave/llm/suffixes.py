@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from jobweave.llm import grams
 from jobweave.llm.repeats import FOUND, OPEN, SEEN, gathered, lists_of, repeated, settled
-from jobweave.llm.store import id_of, keyed, stored
+from jobweave.llm.store import id_of, keyed, returning_memory, stored
 
 SPAN = 100
 GRAM = 24
@@ -183,6 +183,7 @@ def runs_of(passage: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return passage[heads], start[heads], np.diff(np.append(heads, len(passage)))
 
 
+@returning_memory
 def passages_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the bundles listed for each document."""
     for batch in batches:
@@ -227,6 +228,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], rows: in
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+@returning_memory
 def sort_passages(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Windows that repeat an earlier one of their group; for groups dealt to several sorts also all others.
 
@@ -319,6 +321,7 @@ def repeated_passages(documents: DataFrame, span: int = SPAN, gram: int = GRAM)
     )
 
 
+@returning_memory
 def kept_bytes(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = grams.text_bytes(batch.column("text"))
