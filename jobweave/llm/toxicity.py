@@ -79,10 +79,14 @@ class Distances:
         return [len(ordinary(w)) - len(toxic(w)) for w in windows]
 
     def features(self, text: str | None) -> list[float]:
-        """The highest distances, and the logarithm of the number of windows: of many, some are high by chance."""
+        """The highest distances, and the highest one times the logarithm of the number of windows.
+
+        Of many windows some are high by chance; a text without any distance gets
+        the same score whatever its length.
+        """
         found = self.of(plain(text)) if text else []
         top = sorted(found, reverse=True)[:TOP]
-        return [*top, *[0] * (TOP - len(top)), math.log1p(len(found))]
+        return [*top, *[0] * (TOP - len(top)), max(top, default=0) * math.log1p(len(found))]
 
 
 def without_copies(texts: list[bytes]) -> list[int]:
