@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobweave.operators import profiles as pr
 from jobweave.operators import searches as sr
 from jobweave.operators import textjoin as tj
 from jobweave.plans.registry import query
@@ -118,6 +119,39 @@ def stored_searches(spark: SparkSession, d: str) -> DataFrame:
     return sr.match_searches(jobs, conditions, fields, order, "url", 5).select("search", "level", "url")
 
 
+TERMS = ["Python", "SQL", "Java", "Spark", "Docker", "Excel", "Kafka", "AWS"]
+VISAS = ["CPT,OPT", "H-1B", "OPT,H-1B", "CPT,OPT,H-1B"]
+
+
+@query(
+    "search_by_profiles",
+    f"""WITH {JOBS_SQL}, p AS (
+      SELECT c_custkey AS profile, string_split({sql_pick(VISAS, 'c_custkey // 4')}, ',') AS visas,
+        CASE WHEN c_custkey % 11 = 0 THEN [] ELSE list_sort(list_distinct([lower({sql_pick(TERMS, 'c_custkey')}),
+          lower({sql_pick(TERMS, 'c_custkey // 3')}), lower({sql_pick(TERMS, 'c_custkey // 7')})])) END AS terms FROM customer),
+    q AS (SELECT DISTINCT terms, visas FROM p),
+    j AS (
+      SELECT url, visa_category, days_since_posted, list_filter({[t.lower() for t in TERMS]}, lambda t: contains(lower(coalesce(title, '')), t)
+        OR contains(lower(coalesce(description, '')), t) OR contains(lower(coalesce(qualifications, '')), t)) AS named
+      FROM jobs WHERE days_since_posted <= 400),
+    s AS (
+      SELECT terms, visas, url, days_since_posted, len(list_intersect(terms, named))::INT AS relevance_score
+      FROM q JOIN j ON list_contains(visas, visa_category)),
+    b AS (
+      SELECT * FROM s WHERE relevance_score > 0 OR len(terms) = 0 QUALIFY row_number() OVER (PARTITION BY terms, visas
+        ORDER BY relevance_score DESC, days_since_posted NULLS LAST, url) <= 50)
+    SELECT profile, url, relevance_score FROM p JOIN b USING (terms, visas)""",
+)
+def search_by_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """VEC4: the fifty best postings for every customer, by terms and visa categories; one in eleven names no term."""
+    key = C("c_custkey")
+    terms = F.array(pick(TERMS, key), pick(TERMS, F.floor(key / 3)), pick(TERMS, F.floor(key / 7)))
+    profiles = read(spark, d, "customer").select(
+        key.alias("profile"), F.when(key % 11 != 0, terms).alias("terms"), F.split(pick(VISAS, F.floor(key / 4)), ",").alias("visas")
+    )
+    return pr.search_by_profiles(jobs_processed(spark, d), profiles, 400, 50)
+
+
 @query(
     "drop_old_partitions",
     """WITH e AS (SELECT CAST(ts AS DATE) AS day, * FROM events)

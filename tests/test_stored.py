@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobweave.operators import incremental as inc
+from jobweave.operators import profiles as pr
 from jobweave.operators import searches as sr
 from jobweave.operators import textjoin as tj
 from jobweave.sources import bucketed, sinks
@@ -163,3 +164,32 @@ def test_dropped_partitions(spark):
     assert spark.table("days_kept").where("d is not null").agg(F.min("d"), F.count("*")).first()[1] == 24
     assert sinks.drop_old_partitions(spark, "days_kept", "d", 7, "2024-01-28") == []
     spark.sql("drop table days_kept")
+
+
+@pytest.mark.parametrize("limit", [1, 3, 12])
+def test_search_by_profiles(spark, limit):
+    rng = random.Random(9)
+    words = ["sql", "Python", "c++", "go", "r", "spark", "java", "scala"]
+    # sql is common, scala rare
+    text = lambda: rng.choice([None, "", " ".join(w for i, w in enumerate(words) if rng.random() < 0.9 / (i + 1))])
+    jobs = [(f"u{i}", text(), text(), text(), rng.choice([None, "CPT", "OPT", "H-1B"]), rng.choice([None, 1, 2, 300, 900])) for i in range(150)]
+    profiles = [
+        (i, rng.choice([None, [], [rng.choice([*words, " SQL ", "", None, "cobol"]) for _ in range(rng.randint(1, 5))]]),
+         rng.choice([None, [], ["CPT", None], ["OPT", "H-1B"], ["CPT", "CPT", "OPT"]]))
+        for i in range(80)
+    ]
+    profiles += profiles[:3]
+    df = spark.createDataFrame(jobs, "url string, title string, description string, qualifications string, visa_category string, days_since_posted int")
+    asked = spark.createDataFrame(profiles, "profile long, terms array<string>, visas array<string>")
+    want = []
+    for p, terms, visas in profiles:
+        wanted = {t.strip().lower() for t in terms or [] if t and t.strip()}
+        scored = []
+        for url, *texts, visa, days in jobs:
+            if days is not None and days <= 400 and visa is not None and visa in (visas or []):
+                score = sum(any(t in (x or "").lower() for x in texts) for t in wanted)
+                if score or not wanted:
+                    scored.append((-score, days, url))
+        want += [(p, url, -score) for score, _, url in sorted(scored)[:limit]]
+    assert rows_of(pr.search_by_profiles(df, asked, 400, limit)) == sorted(want, key=repr) and len(want) > 30
+    assert pr.search_by_profiles(df.limit(0), asked, 400, limit).count() == pr.search_by_profiles(df, asked.limit(0), 400, limit).count() == 0
