@@ -90,7 +90,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, item_ids: np.ndarray, k: int, minimum: float, open_to: np.ndarray | None):
-    """Indices (query, item) of the k best scores above the minimum, ties by item id."""
+    """Index arrays (query, item) of the k best scores above the minimum, ties by item id."""
+    found = []
     for q in range(scores.shape[0]):
         row = scores[q]
         ok = row > minimum if open_to is None else (row > minimum) & open_to[q]
@@ -99,14 +100,17 @@ def _best(scores: np.ndarray, item_ids: np.ndarray, k: int, minimum: float, open
             # keep everything that ties with the k-th score, then order exactly
             edge = np.partition(row[hits], len(hits) - k)[len(hits) - k]
             hits = hits[row[hits] >= edge]
-        hits = hits[np.lexsort((item_ids[hits], -row[hits]))][:k]
-        for i in hits:
-            yield q, i
+        found.append(hits[np.lexsort((item_ids[hits], -row[hits]))][:k])
+    rows = np.repeat(np.arange(len(found)), [len(h) for h in found])
+    return rows, np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _compare(qids, qmat, qclasses, ids, mat, classes, k, minimum):
-    """Rows (query_id, item_id, score) for one block of items, k per query."""
-    out_q, out_i, out_s = [], [], []
+def _compare(qids, qmat, qclasses, ids, mat, classes, k, minimum, skip=None):
+    """Rows (query_id, item_id, score) for one block of items, k per query and chunk.
+
+    ``skip(part)`` may name the queries that a chunk of items can be left out for.
+    """
+    found = []
     if qclasses is not None:
         # one mask for each different list of open classes
         lists = list(dict.fromkeys(map(frozenset, qclasses)))
@@ -115,15 +119,14 @@ def _compare(qids, qmat, qclasses, ids, mat, classes, k, minimum):
         masks = np.array([[n in allowed for n in names] for allowed in lists], dtype=bool).reshape(len(lists), len(names))
     for start in range(0, len(ids), _CHUNK):
         part = slice(start, start + _CHUNK)
-        scores = np.round(qmat @ mat[part].T, 9)
+        asked = np.arange(len(qids)) if skip is None else np.flatnonzero(~skip(part))
+        scores = np.round(qmat[asked] @ mat[part].T, 9)
         open_to = None
         if qclasses is not None:
-            open_to = masks[:, codes[part]][list_of]
-        for q, i in _best(scores, ids[part], k, minimum, open_to):
-            out_q.append(qids[q])
-            out_i.append(ids[part][i])
-            out_s.append(scores[q, i])
-    return pd.DataFrame({"query_id": out_q, "item_id": out_i, "score": out_s})
+            open_to = masks[:, codes[part]][list_of[asked]]
+        q, i = _best(scores, ids[part], k, minimum, open_to)
+        found.append(pd.DataFrame({"query_id": qids[asked[q]], "item_id": ids[part][i], "score": scores[q, i]}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": qids[:0], "item_id": ids[:0], "score": np.zeros(0)})
 
 
 def _checked_vectors(df: DataFrame, id_col: str, vec: str, dim: int, extra: list[Column], names: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobweave.operators import filters as flt
 from jobweave.operators import matching as mt
+from jobweave.operators import pivots as pv
 from jobweave.operators import search as se
 from jobweave.operators import vectors as ve
 from jobweave.plans.registry import query
@@ -485,6 +486,20 @@ def cosine_topk_blocked(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "cosine_topk_pruned",
+    """WITH pairs AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id,
+        round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 9) AS score
+      FROM embeddings q JOIN embeddings i ON true)
+    SELECT query_id, item_id, round(score, 6) AS score FROM pairs WHERE score > 0.1
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 10""",
+)
+def cosine_topk_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors against all, by pivots."""
+    found = pv.pruned_topk(vector_queries(spark, d), read(spark, d, "embeddings"), 10, 64, 0.1, item_id="vec_id", pivots=32)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "jobs_with_embeddings",
     f"""WITH {JOBS_SQL} SELECT url, vec_id, label, len(embedding) AS dims FROM jobs

@@ -17,6 +17,7 @@ from jobweave.operators import incremental as inc
 from jobweave.operators import matching as mt
 from jobweave.operators import pages as pg
 from jobweave.operators import quality as dq
+from jobweave.operators import pivots as pv
 from jobweave.operators import search as se
 from jobweave.operators import sponsors as sp
 from jobweave.operators import staging as st
@@ -201,6 +202,39 @@ def test_cosine_topk_is_exact(spark, limits):
     assert {(r[0], r[1]) for r in got.select("query_id", "item_id").collect()} == expected
 
 
+@pytest.mark.parametrize("pivots, blocks, minimum", [(1, (4096, 50_000), 0.1), (12, (7, 20), 0.1), (12, (4096, 50_000), -1.0), (500, (5, 9), 0.6)])
+def test_pruned_topk_is_exact(spark, pivots, blocks, minimum):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8))
+    items = np.vstack([c + 0.1 * rng.normal(size=(25, 8)) for c in centres])
+    items[7], items[9], items[11] = items[3], items[3] * 5, 0  # ties and a zero vector
+    kinds = [None if i == 5 else i % 3 for i in range(300)]
+    open_to = [[i % 3, 1, None][: i % 4] for i in range(300)]
+    rows = [(i, [float(x) for x in v], kinds[i], open_to[i]) for i, v in enumerate(items)]
+    rows += [(900, None, 1, [1]), (901, [1.0], 1, [1]), (902, [None] * 8, 1, [1])]
+    df = spark.createDataFrame(rows, "item_id long, embedding array<double>, class int, allowed array<int>")
+    queries = df.withColumnRenamed("item_id", "query_id")
+    pairs = spark.sparkContext.accumulator(0)
+    sizes = {"pivots": pivots, "queries_per_block": blocks[0], "items_per_block": blocks[1]}
+    norms = np.linalg.norm(items, axis=1, keepdims=True)
+    unit = np.divide(items, norms, out=np.zeros_like(items), where=norms > 0)
+    scores = np.round(unit @ unit.T, 9)
+
+    def best(accepts):
+        return sorted(
+            (q, i) for q in range(300)
+            for i in sorted((i for i in range(300) if scores[q, i] > minimum and accepts(q, i)), key=lambda i: (-scores[q, i], i))[:4]
+        )
+
+    got = pv.pruned_topk(queries, df, 4, 8, minimum, compared=pairs, **sizes)
+    assert sorted(map(tuple, got.select("query_id", "item_id").collect())) == best(lambda q, i: True)
+    assert pairs.value < 300 * 300 / 3 or pivots != 12 or minimum < 0
+    got = pv.pruned_topk(queries, df, 4, 8, minimum, item_class="class", allowed="allowed", **sizes)
+    assert sorted(map(tuple, got.select("query_id", "item_id").collect())) == best(lambda q, i: kinds[i] is not None and kinds[i] in open_to[q])
+    for left, right in ((queries.limit(0), df), (queries, df.limit(0))):
+        assert pv.pruned_topk(left, right, 4, 8, minimum).count() == 0
+
+
 def test_embedding_is_unit_and_repeatable(spark):
     df = spark.createDataFrame([("senior data engineer with python",)] * 2 + [("",)], "t string")
     a, b, c = (np.array(r["embedding"]) for r in ve.embed(df, C("t"), 256).collect())
