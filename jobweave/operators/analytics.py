@@ -9,7 +9,7 @@ from jobweave.functions import numbers as nm
 from jobweave.functions import rules
 from jobweave.functions import text as tx
 from jobweave.operators import filters as flt
-from jobweave.operators.sponsors import join_sponsor_view, sponsor_per_clean_name
+from jobweave.operators.sponsors import approval_per_clean_name
 from jobweave.operators.staging import latest_per_key
 
 # Display order of experience levels and cities by short name.
@@ -113,15 +113,19 @@ def share_of_total(df: DataFrame, key: str | Column, name: str = "category", dig
     return _with_share(df.groupBy(F.coalesce(col, F.lit("Unknown")).alias(name)).agg(_rows().alias("count")), digits)
 
 
-def top_companies(jobs: DataFrame, intelligence: DataFrame, n: int = 20) -> DataFrame:
-    """AGG9: postings are counted per company before the sponsor view is joined."""
+def top_companies(jobs: DataFrame, employers: DataFrame, n: int = 20) -> DataFrame:
+    """AGG9: postings are counted per company before the sponsor view is joined.
+
+    ``employers`` has the columns of ``employer_approvals``; employer intelligence does as well.
+    """
     counts = (
         jobs.filter(flt.company_noise())
         .groupBy("company", "company_clean")
         .agg(_rows().alias("_jobs"), F.max("h1b_sponsor").alias("_sponsor"))
     )
+    view = approval_per_clean_name(employers)
     return (
-        join_sponsor_view(counts, intelligence)
+        counts.join(view, F.upper("company_clean") == view["employer_clean"], "left")
         .groupBy("company")
         .agg(
             F.sum("_jobs").alias("job_count"),
@@ -144,11 +148,12 @@ def top_locations(jobs: DataFrame, n: int = 15) -> DataFrame:
     )
 
 
-def top_sponsors(jobs: DataFrame, intelligence: DataFrame, n: int = 50) -> DataFrame:
+def top_sponsors(jobs: DataFrame, employers: DataFrame, n: int = 50) -> DataFrame:
     """AGG11: sponsoring companies with a positive approval rate.
 
     Both sides are aggregated to company level before they meet, so the join
     moves one row per company whatever the number of postings or filings.
+    ``employers`` has the columns of ``employer_approvals``; employer intelligence does as well.
     """
     counts = (
         jobs.filter(F.col("h1b_sponsor") & flt.company_noise(noise=flt.SPONSOR_NOISE))
@@ -156,7 +161,7 @@ def top_sponsors(jobs: DataFrame, intelligence: DataFrame, n: int = 50) -> DataF
         .agg(_rows().alias("_jobs"))
     )
     return (
-        counts.join(sponsor_per_clean_name(intelligence).filter(F.col("approval_pct") > 0), "employer_clean")
+        counts.join(approval_per_clean_name(employers).filter(F.col("approval_pct") > 0), "employer_clean")
         .groupBy("company")
         .agg(F.sum("_jobs").alias("job_count"), F.round(F.max("approval_pct"), 4).alias("avg_approval_rate"))
         .withColumn("h1b_sponsor", F.lit(True))
@@ -256,15 +261,25 @@ def locations_dropdown(jobs: DataFrame) -> DataFrame:
     return dropdown(jobs, "location", flt.LOCATION_STOP, 10, 50)
 
 
-def standardize_locations(jobs: DataFrame, aliases: dict[str, str] = LOCATION_ALIASES, n: int = 50) -> DataFrame:
-    """STRF13: alias names merged, generic entries dropped, counts regrouped."""
-    name = F.col("location")
-    for short, full in aliases.items():
-        name = F.when(F.upper(F.trim("location")) == short.upper(), full).otherwise(name)
-    return (
+def standardize_locations(jobs: DataFrame, aliases: dict[str, str] | DataFrame = LOCATION_ALIASES, n: int = 50) -> DataFrame:
+    """STRF13: alias names merged, generic entries dropped, counts regrouped.
+
+    ``aliases`` may be a table (alias, name) of any length: it meets the distinct
+    locations, not the postings. Aliases count in any case; of several names for
+    one alias the first in alphabetical order holds.
+    """
+    if isinstance(aliases, dict):
+        aliases = jobs.sparkSession.createDataFrame(list(aliases.items()), "alias string, name string")
+    names = aliases.groupBy(F.upper("alias").alias("_alias")).agg(F.min("name").alias("_name"))
+    counts = (
         jobs.filter((F.col("location") != "") & ~F.col("location").isin(flt.LOCATION_STOP))
-        .groupBy(name.alias("name"))
-        .agg(_rows().alias("job_count"))
+        .groupBy("location")
+        .agg(_rows().alias("_jobs"))
+    )
+    return (
+        counts.join(names, F.upper(F.trim("location")) == F.col("_alias"), "left")
+        .groupBy(F.coalesce("_name", "location").alias("name"))
+        .agg(F.sum("_jobs").alias("job_count"))
         .orderBy(F.col("job_count").desc(), "name")
         .limit(n)
     )

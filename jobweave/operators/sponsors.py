@@ -56,6 +56,16 @@ def risk_level(violator: Column, approval_rate: Column) -> Column:
     )
 
 
+def employer_approvals(filings: DataFrame, min_filings: int = 5) -> DataFrame:
+    """The counts of AGG2 that an approval rate needs: decided and certified filings per employer spelling, in one shuffle."""
+    return (
+        filings.filter(F.col("case_status").isin(DECIDED))
+        .groupBy(tx.norm_key(F.col("employer_name")).alias("employer_clean"), F.col("employer_name").alias("employer_original"))
+        .agg(F.count(F.lit(1)).alias("total_filings"), _certified().alias("total_certified"))
+        .filter(F.col("total_filings") >= min_filings)
+    )
+
+
 def employer_intelligence(filings: DataFrame, as_of: str, min_filings: int = 5, compat: bool = False) -> DataFrame:
     """AGG2 and AGG3: sponsor metrics per employer spelling.
 
@@ -183,6 +193,12 @@ def match_sponsors(jobs: DataFrame, employers: DataFrame) -> DataFrame:
     )
 
 
+def approval_per_clean_name(employers: DataFrame) -> DataFrame:
+    """The best approval percentage among the spellings of each clean name."""
+    rate = F.col("total_certified") * 100 / F.nullif(F.col("total_filings"), F.lit(0))
+    return employers.groupBy("employer_clean").agg(F.max(rate).alias("approval_pct"))
+
+
 def sponsor_per_clean_name(intelligence: DataFrame) -> DataFrame:
     """One row per clean name, so that a join on it cannot multiply postings."""
     return intelligence.groupBy("employer_clean").agg(

@@ -47,6 +47,10 @@ def intel(spark: SparkSession, d: str) -> DataFrame:
     return sp.employer_intelligence(ad.filings(spark, d), AS_OF)
 
 
+def approvals(spark: SparkSession, d: str) -> DataFrame:
+    return sp.employer_approvals(ad.filings(spark, d))
+
+
 @query(
     "employer_summary",
     f"""WITH {FILINGS_SQL}
@@ -86,7 +90,7 @@ SPONSORS_SQL = f"""WITH {JOBS_SQL}, {INTEL_SQL}
 
 @query("top_sponsors", SPONSORS_SQL)
 def top_sponsors(spark: SparkSession, d: str) -> DataFrame:
-    return an.top_sponsors(jobs_processed(spark, d), intel(spark, d))
+    return an.top_sponsors(jobs_processed(spark, d), approvals(spark, d))
 
 
 @query(
@@ -99,7 +103,7 @@ def top_sponsors(spark: SparkSession, d: str) -> DataFrame:
     WHERE {NOISE_SQL} GROUP BY company ORDER BY job_count DESC, company LIMIT 20""",
 )
 def top_companies(spark: SparkSession, d: str) -> DataFrame:
-    return an.top_companies(jobs_processed(spark, d), intel(spark, d))
+    return an.top_companies(jobs_processed(spark, d), approvals(spark, d))
 
 
 @query(
