@@ -112,6 +112,44 @@ def test_contains_join(spark, adaptive):
     assert tj.contains_join(df.limit(0), "id", "text", table).count() == 0 == tj.contains_join(df, "id", "text", table.limit(0)).count()
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_contains_join_of_many_values(spark, monkeypatch, limit):
+    """Values beyond the limit are never sent to every task, small as their file is; repeated keys count once each."""
+    monkeypatch.setattr(tj, "BROADCAST_VALUES", limit)
+    monkeypatch.setattr(tj, "PLAIN_VALUES", 3)
+    values = [f"Customer#{i:09}" for i in range(40)] + ["tom", "er", "0", "x", "customer#0000000", "r#00000"]
+    texts = [(i % 30, f" customer#{i % 60:09} Inc") for i in range(120)] + [(None, "Customer#000000007"), (5, None), (6, "CUSTOMER#00")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    found = tj.contains_join(df, "id", "text", spark.createDataFrame([(v,) for v in values], "value string"))
+    want = {}
+    for i, t in set(texts):
+        want.setdefault(i, []).append((t or "").lower())
+    assert set(map(tuple, found.collect())) == {(i, v.lower()) for i, ts in want.items() for v in values if any(v.lower() in t for t in ts)}
+    assert found.count() == sum(v.lower() in (t or "").lower() for _, t in texts for v in values)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "salt" not in plan or ("SortMergeJoin [gram" in plan and "BroadcastHashJoin [gram" not in plan)
+
+
+def test_equal_searches_are_found_once(spark, monkeypatch):
+    """Neither the number of equal searches nor that of rows that agree in the restricted fields makes more rows."""
+    written, write = [], sr.materialize_once
+
+    def counted(df, label):
+        out = write(df, label)
+        if label in ("hits", "pools", "best"):
+            written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(sr, "materialize_once", counted)
+    jobs = spark.createDataFrame([(f"u{i:03}", f"engineer {i % 3}", f"text {i}") for i in range(300)], "url string, title string, text string")
+    fields = {"title": sr.Field("title"), "text": sr.Field("text")}
+    rows = [(s, 0, "text", "nowhere") for s in range(400)] + [(s, 1, "title", "Engineer") for s in range(400)]
+    asked = spark.createDataFrame(rows, "search long, level int, field string, term string")
+    got = rows_of(sr.match_searches(jobs, asked, fields, [F.col("url")], "url", 2).select("search", "level", "url"))
+    assert got == sorted([(s, 1, u) for s in range(400) for u in ("u000", "u001")], key=repr)
+    assert max(n for _, n in written) <= 6
+
+
 def test_stored_searches(spark):
     rng = random.Random(7)
     words = ["data", "cloud", "lead", "Intern", "ops"]
