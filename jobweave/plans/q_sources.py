@@ -26,6 +26,9 @@ from jobweave.streaming import ingest
 
 C = F.col
 
+#: Feeds and exports are landed compressed, as the readers take them.
+PACKED = "gzip"
+
 
 def feed_rows(spark: SparkSession, d: str) -> DataFrame:
     """Postings as a scraper would land them."""
@@ -52,7 +55,8 @@ def _loaded(df: DataFrame) -> DataFrame:
 @query("read_scraped_lines", FEED_SQL)
 def read_scraped_lines(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "feed-lines")
-    feed_rows(spark, d).write.json(path)
+    # a packed file is read by one task, so files are bounded
+    feed_rows(spark, d).write.option("maxRecordsPerFile", 500_000).json(path, compression=PACKED)
     return _loaded(files.read_scraped_lines(spark, path))
 
 
@@ -64,7 +68,7 @@ def read_scraped_json(spark: SparkSession, d: str) -> DataFrame:
     arrays = rows.groupBy(F.floor(C("job_id").cast("long") / 5000).alias("batch")).agg(
         F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")
     )
-    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path, compression=PACKED)
     return _loaded(files.read_scraped_json(spark, path))
 
 
@@ -167,7 +171,7 @@ def append_and_replace(spark: SparkSession, d: str) -> DataFrame:
 )
 def write_outputs(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "outputs")
-    sinks.write_outputs(jobs_raw(spark, d), path)
+    sinks.write_outputs(jobs_raw(spark, d), path, compression=PACKED)
     out = spark.read.csv(
         f"{path}/csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         schema=", ".join(f"{c} string" for c in sinks.EXPORT_COLUMNS),

@@ -25,12 +25,12 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_outputs(df: DataFrame, path: str, columns: list[str] = EXPORT_COLUMNS) -> None:
-    """SNK3: all columns as JSON, a fixed subset as CSV; missing columns are empty."""
-    df.write.mode("overwrite").json(f"{path}/json")
+def write_outputs(df: DataFrame, path: str, columns: list[str] = EXPORT_COLUMNS, compression: str | None = None) -> None:
+    """SNK3: all columns as JSON, a fixed subset as CSV; missing columns are empty. ``compression`` is that of Spark's writers."""
+    df.write.mode("overwrite").json(f"{path}/json", compression=compression)
     subset = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
     df.select(*subset).write.mode("overwrite").csv(
-        f"{path}/csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        f"{path}/csv", compression=compression, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
 

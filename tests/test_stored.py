@@ -231,3 +231,17 @@ def test_search_by_profiles(spark, limit):
         want += [(p, url, -score) for score, _, url in sorted(scored)[:limit]]
     assert rows_of(pr.search_by_profiles(df, asked, 400, limit)) == sorted(want, key=repr) and len(want) > 30
     assert pr.search_by_profiles(df.limit(0), asked, 400, limit).count() == pr.search_by_profiles(df, asked.limit(0), 400, limit).count() == 0
+
+
+def test_feeds_and_exports_are_packed(spark, sf_dir, monkeypatch, tmp_path):
+    """Rows landed as JSON and CSV are compressed, and come back whole."""
+    from __spark_entry__ import queries
+    from jobweave.plans import q_sources
+
+    places = []
+    monkeypatch.setattr(q_sources, "new_path", lambda spark, label: places.append(str(tmp_path / label)) or places[-1])
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    for name in ("read_scraped_lines", "read_scraped_json", "write_outputs"):
+        assert queries()[name](spark, sf_dir).count() == n
+    files = [f for p in places for f in glob.glob(f"{p}/**/part-*", recursive=True)]
+    assert files and all(f.endswith(".gz") for f in files)
