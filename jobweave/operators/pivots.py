@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from jobweave.operators.staging import top_per_key
 from jobweave.operators.vectors import BROADCAST_QUERIES, ITEMS_PER_BLOCK, _checked_vectors, _compare, _matrix
-from jobweave.session import materialize_once
+from jobweave.session import bounded_batches, materialize_once
 
 #: Pivots by default; a pivot is an item, so that 1024 pivots of 768 numbers are 6 MB in each task.
 PIVOTS = 256
@@ -127,6 +127,7 @@ def pruned_topk(
     centres = pick_pivots(x, pivots, dim)
     if not len(centres):
         return items.sparkSession.createDataFrame([], schema)
+    bounded_batches(items.sparkSession)
     x = materialize_once(with_nearest(x, centres, dim), "groups")
     q = materialize_once(with_nearest(q, centres, dim).withColumnRenamed("pivot", "home").drop("angle"), "queries")
     known = x.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()

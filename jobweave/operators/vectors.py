@@ -15,12 +15,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from jobweave.functions import rules
 from jobweave.operators.staging import top_per_key
+from jobweave.session import bounded_batches
 
 # Largest query set sent to every task: 4096 queries of 768 numbers are 25 MB.
 BROADCAST_QUERIES = 4096
 # Items per task of the blocked plan; bounds the score matrix a task holds.
 ITEMS_PER_BLOCK = 50_000
 _CHUNK = 4096
+# Queries whose scores with a chunk of items are held at a time: 16 MB of numbers.
+_ASKED = 512
 
 
 class BatchScorer:
@@ -77,6 +80,7 @@ def embed(df: DataFrame, text: Column, dim: int = 768, output: str = "embedding"
     """
     if scorer is not None:
         return df.withColumn(output, scorer(text))
+    bounded_batches(df.sparkSession)
     return df.withColumn(output, BatchScorer(_fold(dim), "array<float>")(hashed_slots(text, dim)))
 
 
@@ -120,12 +124,13 @@ def _compare(qids, qmat, qclasses, ids, mat, classes, k, minimum, skip=None):
     for start in range(0, len(ids), _CHUNK):
         part = slice(start, start + _CHUNK)
         asked = np.arange(len(qids)) if skip is None else np.flatnonzero(~skip(part))
-        scores = np.round(qmat[asked] @ mat[part].T, 9)
-        open_to = None
-        if qclasses is not None:
-            open_to = masks[:, codes[part]][list_of[asked]]
-        q, i = _best(scores, ids[part], k, minimum, open_to)
-        found.append(pd.DataFrame({"query_id": qids[asked[q]], "item_id": ids[part][i], "score": scores[q, i]}))
+        for some in (asked[at : at + _ASKED] for at in range(0, len(asked), _ASKED)):
+            scores = np.round(qmat[some] @ mat[part].T, 9)
+            open_to = None
+            if qclasses is not None:
+                open_to = masks[:, codes[part]][list_of[some]]
+            q, i = _best(scores, ids[part], k, minimum, open_to)
+            found.append(pd.DataFrame({"query_id": qids[some[q]], "item_id": ids[part][i], "score": scores[q, i]}))
     return pd.concat(found) if found else pd.DataFrame({"query_id": qids[:0], "item_id": ids[:0], "score": np.zeros(0)})
 
 
@@ -183,6 +188,7 @@ def cosine_topk(
     )
     arrow_schema = to_arrow_schema(schema)
 
+    bounded_batches(spark)
     head = q.limit(broadcast_queries + 1).toArrow()
     if head.num_rows <= broadcast_queries:
         held = spark.sparkContext.broadcast(

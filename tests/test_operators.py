@@ -246,6 +246,24 @@ def test_pruned_topk_is_exact(spark, pivots, blocks, minimum):
         assert pv.pruned_topk(left, right, 4, 8, minimum).count() == 0
 
 
+def test_scores_are_held_for_a_few_queries_at_a_time(spark, monkeypatch):
+    """Blocks of scores stay small however many queries there are, with the same result, and batches are bounded."""
+    rng = np.random.default_rng(4)
+    queries, items = rng.normal(size=(90, 8)), rng.normal(size=(70, 8))
+    shapes, best = [], ve._best
+    monkeypatch.setattr(ve, "_best", lambda scores, *rest: shapes.append(scores.shape) or best(scores, *rest))
+    compare = lambda: ve._compare(np.arange(90), queries, None, np.arange(70), items, None, 3, 0.0)
+    whole = compare()
+    monkeypatch.setattr(ve, "_ASKED", 16)
+    shapes.clear()
+    order = ["query_id", "score", "item_id"]
+    assert compare().sort_values(order).values.tolist() == whole.sort_values(order).values.tolist()
+    assert max(n for n, _ in shapes) == 16
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    ve.embed(spark.createDataFrame([("a b",)], "t string"), C("t"), 8)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
+
+
 def test_embedding_is_unit_and_repeatable(spark):
     df = spark.createDataFrame([("senior data engineer with python",)] * 2 + [("",)], "t string")
     a, b, c = (np.array(r["embedding"]) for r in ve.embed(df, C("t"), 256).collect())
