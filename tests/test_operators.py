@@ -572,3 +572,48 @@ def test_listing_verdicts(spark):
     df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
     got = {r["page_id"]: r["is_listing"] for r in pg.is_listing_page(df).collect()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: False, 5: None}
+
+
+def test_jsonld_postings_reads_each_text_once(spark):
+    df = spark.createDataFrame([(1, "u", "<p>no posting</p>")], "page_id long, url string, html string")
+    plan = pg.jsonld_postings(df)._jdf.queryExecution().optimizedPlan().toString()
+    # the list of a block, its object, its graph, their members (twice) and the two kinds of employment type
+    assert plan.count("from_json(") <= 8
+    assert plan.count("get_json_object(") <= 25
+
+
+def test_cards_of_plain_markup_are_those_of_the_parser():
+    page = (
+        "<!doctype html><title>Jobs &amp; more</title><!-- all --><script>if (a < b) { '<div class=\"posting\">' }</script>"
+        "<ul><LI class='Posting Job-Card' data-qa><a href=\"/job/1?a=1&amp;b=2\">Data &lt;Engineer&gt; wanted</a>"
+        '<i class="office">Boston</i><li class="opening"><h3>Senior Analyst of Data</h3><a href>x</a><a href="b/c">y</a></ul>'
+    )
+    plain, parsed = pg._Cards.__new__(pg._Cards), pg._Cards.__new__(pg._Cards)
+    plain.__init__(page)
+    assert pg._Cards("").read_plain(page)
+    read_plain, pg._Cards.read_plain = pg._Cards.read_plain, lambda self, html: False
+    try:
+        parsed.__init__(page)
+    finally:
+        pg._Cards.read_plain = read_plain
+    base = "https://jobs.example.com/list?page=1"
+    assert list(plain.rows(base)) == list(parsed.rows(base))
+    assert [(r[2], r[5]) for r in plain.rows(base)] == [
+        ("Data <Engineer> wanted", "https://jobs.example.com/job/1?a=1&b=2"), ("Senior Analyst of Data", base),
+    ]
+    for odd in ["<iframe><b></iframe>", "<div class=a>", "<title><b></title>", "<script>", "a < b", "</ p>", '<a href="x&y=1">']:
+        assert not pg._Cards("").read_plain(page + odd)
+
+
+def test_page_postings_moves_items_without_their_text(spark, sf_dir):
+    from jobweave.plans import q_text
+
+    seen = []
+    whole, q_text.pg.page_postings = q_text.pg.page_postings, lambda pages: seen.append(pages) or pages.selectExpr("page_id", "0 as strategy", "html as title", "url as location")
+    try:
+        q_text.page_postings(spark, sf_dir)
+    finally:
+        q_text.pg.page_postings = whole
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join") :]
+    assert "JobPosting" not in joined
