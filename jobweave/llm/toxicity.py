@@ -31,6 +31,8 @@ STRETCHES = (6, 10, 16)
 BEYOND_CHANCE = 4.0
 #: A stretch goes into the dictionary if it is so telling, compared with the most telling one.
 TELLING_SHARE = 0.15
+#: Bytes of the sample that are hashed at a time, so that the driver's memory stays small.
+PART_BYTES = 1 << 18
 #: Highest window distances of a document that its score rests on.
 TOP = 5
 
@@ -186,12 +188,23 @@ def ordinary_part(texts: list[bytes], segment: int = 64) -> bytes:
     whole = np.frombuffer(b" ".join(texts), np.uint8)
     if len(whole) < 2 * segment:
         return whole.tobytes() + b" there was no ordinary text to learn from, so these words stand in for it"
-    hashes = stretches_of(whole.tobytes(), STRETCHES[0])
-    known, place, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    worth, out = count.astype(float), []
-    epoch = max(2 * segment, len(hashes) * segment // DICTIONARY)
-    for lo in range(0, len(hashes) - segment, epoch):
-        mine = place[lo : lo + epoch]
+    size, total = STRETCHES[0], len(whole) - STRETCHES[0] + 1
+    # of the stretches of all texts one array is kept, sorted in place; those of a part are hashed again when it is its turn
+    hashes = np.empty(total, np.uint64)
+    for lo in range(0, total, PART_BYTES):
+        part = whole[lo : lo + PART_BYTES + size - 1]
+        hashes[lo : lo + PART_BYTES] = stretches_of(part.tobytes(), size)
+    hashes.sort()
+    first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    known = hashes[first]
+    del hashes
+    starts = np.append(np.flatnonzero(first).astype(np.int32), np.int32(total))
+    del first
+    worth, out = np.diff(starts).astype(float), []
+    del starts
+    epoch = max(2 * segment, total * segment // DICTIONARY)
+    for lo in range(0, total - segment, epoch):
+        mine = np.searchsorted(known, stretches_of(whole[lo : lo + epoch + size - 1].tobytes(), size))
         sums = np.concatenate([[0.0], np.cumsum(worth[mine])])
         width = min(segment, len(mine))
         best = int(np.argmax(sums[width:] - sums[:-width]))

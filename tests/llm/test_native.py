@@ -124,3 +124,23 @@ def test_shards_with_a_large_group(spark):
 def test_shards_of_nothing(spark):
     assert kd_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert len({r.shard for r in kd_shards(spark.createDataFrame([(1, None)] * 9, "doc_id long, text string")).collect()}) <= 8
+
+
+def test_toxicity_learns_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    from jobweave.llm import toxicity
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=500)).encode() for _ in range(600)]
+    tracemalloc.start()
+    try:
+        part = toxicity.ordinary_part(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 0 < len(part) <= toxicity.DICTIONARY
+    # one array of 8 bytes a stretch in place, and what is counted of it
+    assert peak < 30 * sum(map(len, texts))
