@@ -86,11 +86,12 @@ def classify_with_cache(
     looked = cache_lookup(jobs, cache, key, as_of, ttl_days)
     fresh = rules.classify_visa(F.concat_ws(" ", "title", "description"), **flags)
     hit = F.col("from_cache")
-    return looked.select(
+    # the rules run once a row: each of their columns would otherwise run them again
+    return looked.withColumn("_answer", F.when(~hit, fresh)).select(
         *jobs.columns,
-        F.when(hit, F.col("cached_category")).otherwise(fresh["visa_category"]).alias("visa_category"),
-        F.when(hit, F.col("cached_confidence")).otherwise(fresh["confidence"]).alias("confidence"),
-        F.when(hit, "cache").otherwise(fresh["method"]).alias("method"),
+        F.when(hit, F.col("cached_category")).otherwise(F.col("_answer.visa_category")).alias("visa_category"),
+        F.when(hit, F.col("cached_confidence")).otherwise(F.col("_answer.confidence")).alias("confidence"),
+        F.when(hit, "cache").otherwise(F.col("_answer.method")).alias("method"),
     )
 
 
