@@ -110,10 +110,14 @@ def search_jobs(jobs: DataFrame, c: SearchCriteria, tie_break: str = "url", keep
     Near-duplicates go before the limit, so the answer is full whenever enough
     rows match.
     """
-    latest = latest_per_key(jobs, ["job_id"], ["scraped_at"], [tie_break])
-    scored = latest.filter(flt.exclude_foreign(keep_null=keep_null_location) & strict_filters(c)).withColumn(
-        "relevance_score", relevance_score(c.resume_skills)
+    # only the key and the order of a row that fails the filters cross the network: it can but hide older rows of its id
+    passes = F.coalesce(flt.exclude_foreign(keep_null=keep_null_location) & strict_filters(c), F.lit(False))
+    ranked = {"job_id", "scraped_at", tie_break}
+    marked = jobs.withColumn("_passes", passes).select(
+        "_passes", *(F.col(x) if x in ranked else F.when(F.col("_passes"), F.col(x)).alias(x) for x in jobs.columns)
     )
+    latest = latest_per_key(marked, ["job_id"], ["scraped_at"], [tie_break])
+    scored = latest.filter("_passes").drop("_passes").withColumn("relevance_score", relevance_score(c.resume_skills))
     order = [F.col("relevance_score").desc(), F.col("days_since_posted").asc_nulls_last(), F.col(tie_break).asc()]
     return near_dedup(scored, order).orderBy(*order).limit(c.limit)
 
