@@ -531,8 +531,13 @@ PROFILE_SKILLS = ["Python", "SQL", "Java", "Spark", "Docker", "Excel"]
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     """Candidate profiles: one per customer."""
+    return as_profiles(read(spark, d, "customer"))
+
+
+def as_profiles(customers: DataFrame, *kept: str) -> DataFrame:
     key = F_("c_custkey")
-    return read(spark, d, "customer").select(
+    return customers.select(
+        *kept,
         key.alias("resume_id"),
         F.array(ad.pick(PROFILE_SKILLS, key), ad.pick(PROFILE_SKILLS, key + 1), ad.pick(PROFILE_SKILLS, key + 2)).alias(
             "technical_skills"
@@ -554,11 +559,14 @@ PROFILES_SQL = f"""profiles AS (
 
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Profiles with their candidate postings: those of orders the customer placed."""
-    orders = read(spark, d, "orders").select(
-        F_("o_orderkey").cast("string").alias("job_id"), F_("o_custkey").alias("resume_id")
+    # joined by numbers first; the texts of a posting and a profile, many times as long, are made from the joined rows
+    lines = (
+        read_spread(spark, d, "lineitem")
+        .join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F_("l_orderkey") == F_("o_orderkey"))
+        .join(read(spark, d, "customer").select("c_custkey"), F_("o_custkey") == F_("c_custkey"))
     )
-    jobs = jobs_processed(spark, d).withColumn("semantic_score", (F_("_part") % 50 + 50) / F.lit(100.0))
-    return jobs.join(orders, "job_id").join(profiles(spark, d), "resume_id")
+    jobs = ad.as_processed(ad.as_jobs(lines, "c_custkey"))
+    return as_profiles(jobs.withColumn("semantic_score", (F_("_part") % 50 + 50) / F.lit(100.0)), *jobs.columns, "semantic_score").drop("c_custkey")
 
 
 SCORES_SQL = f"""pairs AS (

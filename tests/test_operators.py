@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobweave.functions import rules
 from jobweave.operators import analytics as an
 from jobweave.operators import conversations as cv
 from jobweave.operators import filters as flt
@@ -617,3 +618,37 @@ def test_page_postings_moves_items_without_their_text(spark, sf_dir):
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[plan.index("Join") :]
     assert "JobPosting" not in joined
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidate_pairs_are_joined_by_numbers(spark, sf_dir):
+    from jobweave.plans import q_search
+
+    plan = optimized(q_search.mt.match_scores(q_search.candidate_pairs(spark, sf_dir)).select("url", "skills_score"))
+    assert "jobs.example.com" in plan and "jobs.example.com" not in plan[plan.index("Join") :]
+
+
+def test_search_jobs_moves_no_text_of_rows_that_fail(spark, sf_dir):
+    jobs = ad.jobs_processed(spark, sf_dir)
+    found = se.search_jobs(jobs, se.SearchCriteria(titles=["data"], limit=5))
+    plan = optimized(found)
+    below = plan[plan.rindex("Window") :]
+    assert "_passes" in below
+    # a newer row of the same id hides an older one, also if it fails the filters itself
+    rows = jobs.limit(1).withColumn("job_id", F.lit("1")).withColumn("location", F.lit("Boston")).drop("title", "scraped_at", "url")
+    two = [rows.withColumns({"title": F.lit(t), "scraped_at": F.lit(s).cast("timestamp"), "url": F.lit(t)}) for t, s in (("Data", "2001-01-01"), ("Cook", "2001-01-02"))]
+    wanted = se.SearchCriteria(titles=["data"])
+    assert se.search_jobs(two[0].unionByName(two[1]), wanted).count() == 0
+    assert [r["title"] for r in se.search_jobs(two[0], wanted).collect()] == ["Data"]
+
+
+def test_cached_classification_runs_the_rules_once(spark):
+    jobs = spark.createDataFrame([("a", "OPT welcome", "text", "No", "No")], "url string, title string, description string, h1b string, grad string")
+    cache = spark.createDataFrame([], "url string, cached_category string, cached_confidence double, cached_at timestamp_ntz")
+    got = inc.classify_with_cache(jobs, cache, "2024-01-10", h1b_flag=C("h1b"), new_grad_flag=C("grad"))
+    assert [(r["visa_category"], r["method"]) for r in got.collect()] == [("OPT", "keywords")]
+    once = jobs.select(rules.classify_visa(F.concat_ws(" ", "title", "description"), h1b_flag=C("h1b"), new_grad_flag=C("grad")))
+    assert optimized(an.classification_run_metrics(got)).count("clearance") == optimized(once).count("clearance")
