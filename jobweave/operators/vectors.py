@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,11 +20,18 @@ from jobweave.session import bounded_batches
 
 # Largest query set sent to every task: 4096 queries of 768 numbers are 25 MB.
 BROADCAST_QUERIES = 4096
-# Items per task of the blocked plan; bounds the score matrix a task holds.
+# Items per block of the blocked plan.
 ITEMS_PER_BLOCK = 50_000
-_CHUNK = 4096
-# Queries whose scores with a chunk of items are held at a time: 16 MB of numbers.
+# Blocks travel together as far as their vectors, as doubles, fill so many bytes: a task holds two such tiles.
+TILE_BYTES = 32 << 20
+# Tiles a core, if there are blocks enough, so that no core is left waiting.
+TILES_PER_CORE = 4
+# Items whose scores are held at a time.
+_CHUNK = 2048
+# Queries whose scores with a chunk of items are held at a time: 4 MB of numbers.
 _ASKED = 512
+# Pairs scored in double precision at a time.
+_PAIRS = 1 << 14
 
 
 class BatchScorer:
@@ -93,45 +101,93 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(scores: np.ndarray, item_ids: np.ndarray, k: int, minimum: float, open_to: np.ndarray | None):
-    """Index arrays (query, item) of the k best scores above the minimum, ties by item id."""
-    found = []
-    for q in range(scores.shape[0]):
-        row = scores[q]
-        ok = row > minimum if open_to is None else (row > minimum) & open_to[q]
-        hits = np.flatnonzero(ok)
-        if len(hits) > k:
-            # keep everything that ties with the k-th score, then order exactly
-            edge = np.partition(row[hits], len(hits) - k)[len(hits) - k]
-            hits = hits[row[hits] >= edge]
-        found.append(hits[np.lexsort((item_ids[hits], -row[hits]))][:k])
-    rows = np.repeat(np.arange(len(found)), [len(h) for h in found])
-    return rows, np.concatenate(found) if found else np.zeros(0, np.int64)
+def _best(scores: np.ndarray, item_ids: np.ndarray, k: int, lowest: np.ndarray, slack: float, open_to: np.ndarray | None, exact):
+    """Index arrays (query, item) and the scores of the k best items of each query, ties by item id.
+
+    ``scores`` are off by less than half of ``slack``: what they cannot rule out
+    is scored again by ``exact(query, item)``. ``lowest`` is what a query's items
+    must reach to be of use.
+    """
+    if open_to is not None:
+        scores = np.where(open_to, scores, -np.inf)
+    floor = (lowest - slack).astype(scores.dtype)
+    many = np.flatnonzero(np.count_nonzero(scores > floor[:, None], axis=1) > 4 * k)
+    if len(many):
+        floor[many] = np.maximum(floor[many], np.partition(scores[many], -k, axis=1)[:, -k] - scores.dtype.type(slack))
+    q, i = np.divmod(np.flatnonzero(scores > floor[:, None]), scores.shape[1])
+    score = exact(q, i)
+    kept = score >= lowest[q]
+    q, i, score = q[kept], i[kept], score[kept]
+    first = _first_per_query(q, i, score, item_ids, k)
+    return q[first], i[first], score[first]
+
+
+def _first_per_query(q: np.ndarray, i: np.ndarray, score: np.ndarray, item_ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best, by score and then item id."""
+    order = np.lexsort((item_ids[i], -score, q))
+    asked = q[order]
+    return order[np.arange(len(asked)) - np.searchsorted(asked, asked) < k]
 
 
 def _compare(qids, qmat, qclasses, ids, mat, classes, k, minimum, skip=None):
-    """Rows (query_id, item_id, score) for one block of items, k per query and chunk.
+    """Rows (query_id, item_id, score) for one block of items, at most k per query. The rows of both matrices are unit vectors.
 
-    ``skip(part)`` may name the queries that a chunk of items can be left out for.
+    Scores in single precision leave out what cannot be among the k best; the
+    rest is scored in double precision. ``skip(part)`` may name the queries that a
+    chunk of items can be left out for.
     """
-    found = []
     if qclasses is not None:
         # one mask for each different list of open classes
         lists = list(dict.fromkeys(map(frozenset, qclasses)))
         list_of = np.array([lists.index(frozenset(c)) for c in qclasses], dtype=np.int64)
         codes, names = pd.factorize(np.asarray(classes, dtype=object), use_na_sentinel=False)
         masks = np.array([[n in allowed for n in names] for allowed in lists], dtype=bool).reshape(len(lists), len(names))
+    rough_q, rough = qmat.astype(np.float32), mat.astype(np.float32)
+    whole = bool(np.isfinite(rough_q).all() and np.isfinite(rough).all())
+    # rounding of both rows and of the sum, twice, and of the scores to nine digits
+    slack = (mat.shape[1] + 8) * 2.0**-22 + 4e-9
+    # a score is above the minimum when it is at least the next number
+    best = np.full((len(qids), k), np.nextafter(minimum, np.inf))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for start in range(0, len(ids), _CHUNK):
         part = slice(start, start + _CHUNK)
         asked = np.arange(len(qids)) if skip is None else np.flatnonzero(~skip(part))
         for some in (asked[at : at + _ASKED] for at in range(0, len(asked), _ASKED)):
-            scores = np.round(qmat[some] @ mat[part].T, 9)
+            scores = rough_q[some] @ rough[part].T
+            if not whole:  # rows with an infinite number are near nothing
+                scores[~np.isfinite(scores)] = -np.inf
             open_to = None
             if qclasses is not None:
                 open_to = masks[:, codes[part]][list_of[some]]
-            q, i = _best(scores, ids[part], k, minimum, open_to)
-            found.append(pd.DataFrame({"query_id": qids[some[q]], "item_id": ids[part][i], "score": scores[q, i]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": qids[:0], "item_id": ids[:0], "score": np.zeros(0)})
+
+            def exact(q: np.ndarray, i: np.ndarray) -> np.ndarray:
+                pieces = [slice(at, at + _PAIRS) for at in range(0, len(q), _PAIRS)]
+                return np.round(np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", qmat[some[q[p]]], mat[start + i[p]]) for p in pieces)]), 9)  # noqa: B023
+
+            q, i, score = _best(scores, ids[part], k, best[some].min(axis=1), slack, open_to, exact)
+            found.append((some[q], start + i, score))
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            reached = np.full((len(some), k), -np.inf)
+            reached[q, place] = score
+            best[some] = np.partition(np.hstack([best[some], reached]), k, axis=1)[:, k:]
+    q, i, score = map(np.concatenate, zip(*found))
+    first = _first_per_query(q, i, score, ids, k)
+    return pd.DataFrame({"query_id": qids[q[first]], "item_id": ids[i[first]], "score": score[first]})
+
+
+def _nearest_copies(mat: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows without those that have k rows with the same vector and code, and smaller ids, before them."""
+    rows = np.ascontiguousarray(np.hstack([mat, codes[:, None].astype(np.float64)]))
+    _, same = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+    return np.sort(_first_per_query(same, np.arange(len(ids)), np.zeros(len(ids)), ids, k))
+
+
+def _numbered(ids: pa.ChunkedArray) -> tuple[np.ndarray, pa.ChunkedArray]:
+    """Numbers in the order of the ids, null first, and the ids by number."""
+    order = pc.sort_indices(ids, null_placement="at_start")
+    numbers = np.empty(len(ids), dtype=np.int64)
+    numbers[np.asarray(order)] = np.arange(len(ids))
+    return numbers, ids.take(order)
 
 
 def _checked_vectors(df: DataFrame, id_col: str, vec: str, dim: int, extra: list[Column], names: list[str]) -> DataFrame:
@@ -152,6 +208,13 @@ def rejected_vectors(df: DataFrame, id_col: str, vec: str, dim: int) -> DataFram
     return df.select(F.col(id_col).alias("id"), reason.alias("reason")).filter("reason is not null")
 
 
+def tiles(spark: SparkSession, blocks: int, rows: int, dim: int) -> int:
+    """Tiles of ``blocks`` blocks of so many rows: as large as TILE_BYTES allow, but enough for all cores to work."""
+    most = max(1, TILE_BYTES // (8 * dim * rows))
+    busy = math.isqrt(TILES_PER_CORE * spark.sparkContext.defaultParallelism - 1) + 1
+    return max(math.ceil(blocks / most), min(blocks, busy))
+
+
 def cosine_topk(
     queries: DataFrame,
     items: DataFrame,
@@ -171,8 +234,11 @@ def cosine_topk(
     Exact. A query set of at most ``broadcast_queries`` rows goes to every
     task, which multiplies it with its own item batches and emits at most ``k``
     rows per query and batch; the items are never shuffled. A larger set is cut
-    into blocks of that size and every item block meets every query block in a
-    task of its own, so no task holds more than two blocks.
+    into blocks of that size. Every item block meets every query block; blocks
+    travel in tiles of at most TILE_BYTES (one block, if that is larger), so that a
+    row is copied once for each tile of the other side and not for each block,
+    and no task holds more than two tiles. Of items with the same vector only
+    the first ``k`` are compared.
     ``allowed`` is a query column listing the item classes open to the query.
     """
     filtered = item_class is not None and allowed is not None
@@ -211,23 +277,33 @@ def cosine_topk(
     else:
         n_q = max(1, math.ceil(q.count() / broadcast_queries))
         n_x = max(1, math.ceil(x.count() / items_per_block))
+        t_q, t_x = (tiles(spark, n, size, dim) for n, size in ((n_q, broadcast_queries), (n_x, items_per_block)))
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        home = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-        q_blocks = q.withColumn("qb", home(n_q)).withColumn("xb", spread(n_x))
-        x_blocks = x.withColumn("xb", home(n_x)).withColumn("qb", spread(n_q))
+        # rows that share an id are dealt out by their vectors
+        block = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n))
+        home = lambda n, t: F.floor(block(n) * t / F.lit(n)).cast("int")
+        # as many tasks as tiles that meet, whatever their bytes: the work is in the products
+        dealt = lambda df: df.repartition(t_q * t_x, "qt", "xt").groupBy("qt", "xt")
+        q_tiles = dealt(q.withColumn("qt", home(n_q, t_q)).withColumn("xt", spread(t_x)))
+        x_tiles = dealt(x.withColumn("xt", home(n_x, t_x)).withColumn("qt", spread(t_q)))
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            numbers, ids = _numbered(right["id"])
+            mat, classes = _matrix(right["vec"], dim), right["class"].to_pylist() if filtered else None
+            codes = pd.factorize(np.asarray(classes, dtype=object), use_na_sentinel=False)[0] if filtered else np.zeros(len(numbers))
+            kept = _nearest_copies(mat, codes, numbers, k)
             found = _compare(
-                np.asarray(left["id"].to_pylist()),
+                np.arange(left.num_rows),
                 _matrix(left["vec"], dim),
                 [set(a) for a in left["allowed"].to_pylist()] if filtered else None,
-                np.asarray(right["id"].to_pylist()),
-                _matrix(right["vec"], dim),
-                right["class"].to_pylist() if filtered else None,
+                numbers[kept],
+                mat[kept],
+                [classes[i] for i in kept] if filtered else None,
                 k,
                 minimum,
             )
-            return pa.Table.from_pandas(found, schema=arrow_schema, preserve_index=False)
+            columns = [left["id"].take(pa.array(found["query_id"], pa.int64())), ids.take(pa.array(found["item_id"], pa.int64())), pa.array(found["score"], pa.float64())]
+            return pa.Table.from_arrays(columns, names=arrow_schema.names).cast(arrow_schema)
 
-        candidates = q_blocks.groupBy("qb", "xb").cogroup(x_blocks.groupBy("qb", "xb")).applyInArrow(meet, schema)
+        candidates = q_tiles.cogroup(x_tiles).applyInArrow(meet, schema)
     return top_per_key(candidates, ["query_id"], [F.col("score").desc(), F.col("item_id").asc()], k)

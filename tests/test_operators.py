@@ -265,6 +265,31 @@ def test_scores_are_held_for_a_few_queries_at_a_time(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
 
 
+def test_blocks_of_vectors_travel_in_tiles(spark, monkeypatch):
+    """Rows are copied for each tile, not for each block; repeated and null ids, copies and infinite numbers change nothing."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(600, 8))
+    vectors[100:160] = vectors[3]
+    vectors[200, 2], vectors[201] = np.inf, 0
+    ids = [None if i % 50 == 7 else i - i % 90 // 89 for i in range(600)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vectors)], "item_id long, embedding array<double>")
+    seen, first = [], ve.top_per_key
+    monkeypatch.setattr(ve, "top_per_key", lambda found, *rest: seen.append(found) or first(found, *rest))
+    got = ve.cosine_topk(df.withColumnRenamed("item_id", "query_id"), df, 3, 8, 0.1, broadcast_queries=20, items_per_block=20)
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=np.isfinite(norms) & (norms > 0))
+    scores = np.round(unit @ unit.T, 9)
+    expected = []
+    for one in set(ids):
+        pairs = sorted((-scores[q, i], -1 if ids[i] is None else ids[i]) for q in range(600) if ids[q] == one for i in range(600) if scores[q, i] > 0.1)
+        expected += [(one, None if i < 0 else i, -s) for s, i in pairs[:3]]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    rows = sorted(map(tuple, got.collect()), key=key)
+    assert [r[:2] for r in sorted(expected, key=key)] == [r[:2] for r in rows]
+    assert np.allclose([r[2] for r in rows], [r[2] for r in sorted(expected, key=key)])
+    assert seen[0].count() <= 600 * 3 * 6
+
+
 def test_embedding_is_unit_and_repeatable(spark):
     df = spark.createDataFrame([("senior data engineer with python",)] * 2 + [("",)], "t string")
     a, b, c = (np.array(r["embedding"]) for r in ve.embed(df, C("t"), 256).collect())
