@@ -122,5 +122,6 @@ def search_by_profiles(
     hits = best.join(members.select("class", tie_break, "days_since_posted"), "class").drop("class")
     recent = top_per_key(rows, ["visa"], newest, limit)
     plain = without.select("query", F.explode("visas").alias("visa")).join(recent, "visa").select("query", F.lit(0).alias("score"), tie_break, "days_since_posted")
-    ranked = top_per_key(hits.unionByName(plain), ["query"], [F.col("score").desc(), *newest], limit)
+    # written, so that its size is known: many profiles may share few queries, and each makes ``limit`` rows in its own task
+    ranked = materialize_once(top_per_key(hits.unionByName(plain), ["query"], [F.col("score").desc(), *newest], limit), "ranked")
     return asked.select("profile", "query").join(ranked, "query").select("profile", tie_break, F.col("score").alias("relevance_score"))

@@ -51,7 +51,7 @@ WAGE_UNITS = {"1-URGENT": "Hour", "2-HIGH": "Week", "3-MEDIUM": "Bi-Weekly", "4-
 STATUSES = {"F": "Certified", "O": "Denied", "P": "Withdrawn"}
 KEYS = {
     "lineitem": ["l_orderkey", "l_linenumber"], "orders": ["o_orderkey"], "documents": ["doc_id"], "pages": ["page_id"],
-    "conversations": ["conv_id", "turn"],
+    "conversations": ["conv_id", "turn"], "customer": ["c_custkey"],
 }
 
 

@@ -233,6 +233,18 @@ def test_search_by_profiles(spark, limit):
     assert pr.search_by_profiles(df.limit(0), asked, 400, limit).count() == pr.search_by_profiles(df, asked.limit(0), 400, limit).count() == 0
 
 
+def test_profiles_that_share_a_query_are_answered_in_many_tasks(spark):
+    jobs = spark.range(40).select(
+        F.concat(F.lit("u"), "id").alias("url"), F.lit("sql").alias("title"), F.lit(None).cast("string").alias("description"),
+        F.lit(None).cast("string").alias("qualifications"), F.lit("OPT").alias("visa_category"), F.col("id").cast("int").alias("days_since_posted"),
+    )
+    profiles = spark.range(8000).repartition(8).select(F.col("id").alias("profile"), F.array(F.lit("SQL")).alias("terms"), F.array(F.lit("OPT")).alias("visas"))
+    found = pr.search_by_profiles(jobs, profiles, 400, 5)
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 4 and sum(r["count"] for r in tasks) == 40_000
+    assert rows_of(found.groupBy("url").count()) == [(f"u{i}", 8000) for i in range(5)]
+
+
 def test_feeds_and_exports_are_packed(spark, sf_dir, monkeypatch, tmp_path):
     """Rows landed as JSON and CSV are compressed, and come back whole."""
     from __spark_entry__ import queries
