@@ -118,20 +118,26 @@ def employer_intelligence(filings: DataFrame, as_of: str, min_filings: int = 5,
     )
 
 
-def _leading_parts(name: Column, longest: Column) -> Column:
-    """The leading parts of ``name`` of length one up to ``longest``."""
-    return F.transform(F.sequence(F.lit(1), longest), lambda n: F.substring(name, F.lit(1), n))
+def _leading_parts(name: Column, lengths: Column) -> Column:
+    """The leading parts of ``name`` of these lengths, as far as it is long enough."""
+    return F.transform(F.array_intersect(F.sequence(F.lit(1), F.length(name)), lengths), lambda n: F.substring(name, F.lit(1), n))
+
+
+def _lengths(names: DataFrame, name: str) -> Column:
+    """The different lengths of the names: few numbers, however many names there are."""
+    return names.agg(F.collect_set(F.length(name))).scalar()
 
 
 def best_employer_per_company(companies: DataFrame, employers: DataFrame, company: str = "company_key") -> DataFrame:
     """Best sponsor for each distinct, non-empty company key.
 
     A name is a prefix of another exactly when it equals one of the other's
-    leading parts, so both prefix directions become equi-joins. For "company is
-    a prefix of employer" the employers are first reduced to the best one per
-    leading part: that aggregate combines on the map side, so a part shared by
-    a third of all employers costs one row per task, and no step produces
-    pairs of names that do not match.
+    leading parts, so both prefix directions become one equi-join: of a company's
+    leading parts with the employers, each under its whole name and under its
+    shorter parts. Only parts as long as some name on the other side are made.
+    The employers are first reduced to one row per part: that aggregate combines
+    on the map side, so a part shared by a third of all employers costs one row
+    per task, and no step produces pairs of names that do not match.
     """
     keep = F.struct(
         "total_petitions", "employer_clean", "employer_name", "h1b_city", "h1b_state", "avg_approval_rate"
@@ -141,26 +147,27 @@ def best_employer_per_company(companies: DataFrame, employers: DataFrame, compan
     by_name = employers.filter(F.col("employer_clean") != "").groupBy("employer_clean").agg(best.alias("m"))
     names = companies.filter(F.col(company) != "").select(company).distinct()
 
-    # the whole name finds an equal employer, a shorter part one that is a prefix
-    key = F.col(company)
-    leading = names.select(company, F.explode(_leading_parts(key, F.length(key))).alias("part"))
-    employer_first = leading.join(by_name, F.col("part") == F.col("employer_clean")).select(
-        company, F.when(F.col("part") == key, 1).otherwise(2).alias("p"), "m"
-    )
-
-    clean = F.col("employer_clean")
-    parts = by_name.filter(F.length(clean) > 1).select(
-        F.explode(_leading_parts(clean, F.length(clean) - 1)).alias("part"), "m"
-    )
-    best_part = parts.groupBy("part").agg(
-        F.min_by("m", F.struct(-F.col("m.total_petitions"), F.col("m.employer_clean"), F.col("m.employer_name"))).alias("m")
+    key, clean, part = F.col(company), F.col("employer_clean"), F.col("part")
+    # one row per part: the employer of that name, and the best of those whose name goes on after it
+    rank = F.struct(-F.col("m.total_petitions"), F.col("m.employer_clean"), F.col("m.employer_name"))
+    parts = by_name.withColumn("own", F.array_union(_lengths(names, company), F.array(F.length(clean))))
+    by_part = (
+        parts.select("employer_clean", "m", F.explode(_leading_parts(clean, F.col("own"))).alias("part"))
+        .groupBy("part")
+        .agg(F.min_by("m", F.when(part == clean, rank)).alias("named"), F.min_by("m", F.when(part != clean, rank)).alias("begun"))
     )
-    company_first = names.join(best_part, key == F.col("part")).select(company, F.lit(3).alias("p"), "m")
+    # the whole company name finds an equal employer and longer ones, a shorter part an employer of that name
+    wanted = names.withColumn("own", F.array_union(_lengths(employers.filter(clean != ""), "employer_clean"), F.array(F.length(key))))
+    leading = wanted.select(company, F.explode(_leading_parts(key, F.col("own"))).alias("part"))
+    finds = [
+        F.when(F.col("named").isNotNull(), F.struct(F.when(part == key, 1).otherwise(2).alias("p"), F.col("named").alias("m"))),
+        F.when((part == key) & F.col("begun").isNotNull(), F.struct(F.lit(3).alias("p"), F.col("begun").alias("m"))),
+    ]
+    found = leading.join(by_part, "part").select(company, F.inline(F.array_compact(F.array(*finds))))
 
     order = F.struct(F.col("p"), -F.col("m.total_petitions"), F.col("m.employer_clean"), F.col("m.employer_name"))
     return (
-        employer_first.unionByName(company_first)
-        .groupBy(company)
+        found.groupBy(company)
         .agg(F.min_by(F.struct("p", "m"), order).alias("w"))
         .select(
             company,

@@ -82,6 +82,12 @@ def sql_list(values: list[str]) -> str:
     return "(" + ", ".join(map(sql_text, values)) + ")"
 
 
+def numbered(name: str, number: Column) -> Column:
+    """The name and the number, of nine digits or more; most numbers need no formatter, which is slow."""
+    plain = F.concat(F.lit(name), F.lpad(number.cast("string"), 9, "0"))
+    return F.when((number >= 0) & (number < 10**9), plain).otherwise(F.format_string(f"{name}%09d", number))
+
+
 def jobs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scraped postings: one row per line item."""
     return as_jobs(read_spread(spark, sf_dir, "lineitem"))
@@ -90,7 +96,7 @@ def jobs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_jobs(t: DataFrame, *kept: str) -> DataFrame:
     """Line items, which may be joined with other tables, as postings, with the other columns that are to be kept."""
     supp, line = F.col("l_suppkey"), F.col("l_linenumber")
-    name = F.format_string("Customer#%09d", supp)
+    name = numbered("Customer#", supp)
     company = (
         F.when(supp % 20 == 7, "USA")
         .when(supp % 20 == 11, "CA")
@@ -98,7 +104,7 @@ def as_jobs(t: DataFrame, *kept: str) -> DataFrame:
         .when(supp % 5 == 1, F.concat(F.lit("  "), F.lower(name), F.lit(" ")))
         .when(supp % 5 == 2, F.concat(name, F.lit(" Inc")))
         .when(supp % 5 == 3, F.substring(name, 1, 17))
-        .when(supp % 5 == 4, F.format_string("Supplier#%09d", supp))
+        .when(supp % 5 == 4, numbered("Supplier#", supp))
         .otherwise(name)
     )
     pay = F.col("l_extendedprice").cast("decimal(12,2)")
