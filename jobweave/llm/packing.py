@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from unicodedata import normalize
 
@@ -173,6 +174,7 @@ class Underfull:
             for i in bins[b]:
                 self.note(b, sizes[i], 1)
         self.pairs: dict[int, list[int]] | None = None
+        self.known_sums: dict[int, int] = {}
 
     def note(self, b: int, size: int, change: int) -> None:
         holders = self.holders[size]
@@ -191,12 +193,14 @@ class Underfull:
             self.note(b, self.sizes[i], -1)
 
     def pair_sums(self, b: int) -> int:
-        """All sums of two pieces of a bin, as bits."""
-        seen = sums = 0
-        for i in self.bins[b]:
-            sums |= seen << self.sizes[i]
-            seen |= 1 << self.sizes[i]
-        return sums
+        """All sums of two pieces of a bin, as bits; kept until the bin changes. Its sizes are few, even if its pieces are many."""
+        if b not in self.known_sums:
+            seen = sums = 0
+            for size, count in Counter(self.sizes[i] for i in self.bins[b]).items():
+                sums |= seen << size | (count > 1) << 2 * size
+                seen |= 1 << size
+            self.known_sums[b] = sums
+        return self.known_sums[b]
 
     def pair_holder(self, low: int, high: int) -> tuple[int, int] | None:
         """The largest sum over ``low`` and up to ``high`` of two pieces of one bin, and a bin that has it."""
@@ -240,15 +244,23 @@ class Underfull:
                 gain, best = total - given, ([i], self.split(holder, total), holder)
                 if gain == free:
                     return best
-        twice = [(sizes[i] + sizes[j], i, j) for n, i in enumerate(self.bins[target]) for j in self.bins[target][:n]]
-        for given, i, j in sorted({t[0]: t for t in twice}.values()):
-            size = below(self.mask, given + free)
-            if size - given > gain:
-                gain, best = size - given, ([i, j], [size], next(reversed(self.holders[size])))
-                if gain == free:
-                    return best
+        sums = self.pair_sums(target)
+        for more in range(min(free, self.mask.bit_length() - 1), gain, -1):
+            if wanted := sums << more & self.mask:
+                size = (wanted & -wanted).bit_length() - 1
+                return self.last_pair(target, size - more), [size], next(reversed(self.holders[size]))
         return best
 
+    def last_pair(self, b: int, total: int) -> list[int]:
+        """Of a bin's pairs of that sum the one whose later piece comes last; its other piece is the last such before that."""
+        last: dict[int, int] = {}
+        pair: list[int] = []
+        for i in self.bins[b]:
+            if (other := last.get(total - self.sizes[i])) is not None:
+                pair = [i, other]
+            last[self.sizes[i]] = i
+        return pair
+
     def split(self, b: int, total: int) -> list[int]:
         held = self.holders
         for i in self.bins[b]:
@@ -271,6 +283,8 @@ class Underfull:
                 self.bins[source].append(i)
                 self.note(source, self.sizes[i], 1)
             self.bins[target] += got
+            self.known_sums.pop(source, None)
+            self.known_sums.pop(target, None)
             change = sum(wanted) - sum(self.sizes[i] for i in give)
             self.fill[source] -= change
             self.fill[target] += change

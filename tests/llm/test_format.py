@@ -111,6 +111,56 @@ def test_words_with_combining_marks(spark):
     check_packing(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, 4096).collect(), 4096)
 
 
+def test_local_search_looks_at_sizes_not_at_all_pairs_of_pieces():
+    class Sizes(list):
+        looks = 0
+
+        def __getitem__(self, i):
+            Sizes.looks += 1
+            return super().__getitem__(i)
+
+    # no piece fits any space left: the search for an exchange meets all pairs of the target's 500 pieces
+    sizes = Sizes([3] * 500 + [6] * 500 + [9] * 300)
+    bins = [list(range(500)), list(range(500, 900)), list(range(900, 1300))]
+    underfull = packing.Underfull(bins, sizes, 1502)
+    underfull.take_out(0)
+    Sizes.looks = 0
+    assert underfull.best_exchange(0) is None
+    assert Sizes.looks < 10_000
+
+
+def test_exchanges_are_the_best_of_all():
+    rng = random.Random(5)
+    for _ in range(300):
+        capacity = rng.choice([20, 60])
+        sizes, bins = [], []
+        for _ in range(rng.randint(2, 5)):
+            bins.append([])
+            while sum(sizes[i] for i in bins[-1]) + (size := rng.randint(1, capacity // 3)) <= capacity:
+                bins[-1].append(len(sizes))
+                sizes.append(size)
+        underfull = packing.Underfull(bins, sizes, capacity)
+        for target in underfull.order[:1]:
+            free, others = capacity - underfull.fill[target], [bins[b] for b in underfull.order if b != target]
+            one = [0, *(sizes[i] for i in bins[target])]
+            two = [sizes[i] + sizes[j] for n, i in enumerate(bins[target]) for j in bins[target][:n]]
+            single = [sizes[i] for b in others for i in b]
+            double = [sizes[i] + sizes[j] for b in others for n, i in enumerate(b) for j in b[:n]]
+            gains = [got - given for mine, yours in ((one, single), (one[1:], double), (two, single)) for given in mine for got in yours]
+            best = max([g for g in gains if 0 < g <= free], default=0)
+            underfull.take_out(target)
+            found = underfull.best_exchange(target)
+            if not best:
+                assert found is None
+                continue
+            give, wanted, source = found
+            assert sum(wanted) - sum(sizes[i] for i in give) == best
+            assert set(give) <= set(bins[target]) and len(give) == len(set(give))
+            left = [sizes[i] for i in bins[source]]
+            for size in wanted:
+                left.remove(size)
+
+
 def test_local_search_empties_bins():
     rng = random.Random(2)
     for _ in range(20):
