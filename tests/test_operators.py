@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -654,6 +658,43 @@ def test_cards_of_plain_markup_are_those_of_the_parser():
         assert not pg._Cards("").read_plain(page + odd)
 
 
+def test_cards_need_no_copy_of_the_package_on_executors():
+    code = "import pickle, sys; print(len(list(pickle.load(sys.stdin.buffer)(sys.argv[1]).rows(''))))"
+    page = '<li class="job-card"><h3>Data Engineer wanted</h3></li>'
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", code, page], input=cloudpickle.dumps(pg._Cards), cwd="/", env=env, capture_output=True, timeout=60)
+    assert ran.stdout.strip() == b"1", ran.stderr
+
+
+def test_cards_number_only_elements_that_they_may_use():
+    cards = pg._Cards('<div><p>x</p><b>y</b><script>var x;</script></div>' * 50 + '<li class="job-card"><h3>Data Engineer wanted</h3></li>')
+    assert len(cards.last) == 2
+    assert [r[2] for r in cards.rows("")] == ["Data Engineer wanted"]
+
+
+def test_page_postings_reads_no_more_of_a_posting_than_it_returns(spark):
+    whole = '{"@type":"JobPosting","title":"Cook","identifier":{"value":"7"},"baseSalary":{"value":{"minValue":1,"maxValue":2}},"description":"d"}'
+    docs = [
+        whole, f"\x0b [{whole}, 5]\n", '{"@type":"Job\\u0050osting","name":"Escaped","identifier":8}', '{"@type":"Organization","title":"none"}',
+        whole + "}", f'{{"@graph":[{whole},{{"@type":"JobPosting"}}]}}', f'"{{JobPosting}}"', "{JobPosting",
+    ]
+    html = "".join(f'<script type="application/ld+json">{d}</script>' for d in docs)
+    pages = spark.createDataFrame([(1, "https://x.example.com/", html), (None, None, html), (2, "u", None)], "page_id long, url string, html string")
+    columns = ["job_id", "title", "location", "job_type", "apply_url"]
+    few, all_of = pg.jsonld_postings(pages, columns=columns), pg.jsonld_postings(pages)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, all_of.select("page_id", "pos", *columns).collect()))
+    first = sorted((r.asDict() for r in all_of.collect() if r.page_id == 1), key=lambda r: r["pos"])
+    assert [(r["pos"], r["title"], r["job_id"], r["salary_range"], r["description"]) for r in first] == [
+        (0, "Cook", "7", "$1-$2", "d"), (1_000_000, "Cook", "7", "$1-$2", "d"), (2_000_000, "Escaped", "", "", ""), (5_000_000, "Cook", "7", "$1-$2", "d"),
+    ]
+    plan = optimized(few)
+    assert "baseSalary" not in plan and "description" not in plan
+    # what can't hold a posting isn't parsed
+    assert "JobPosting" in plan[plan.rindex("Filter") :]
+    kept = pg.jsonld_postings(pages, columns=["posted_date"]).columns
+    assert kept == ["page_id", "pos", "posted_date"]
+
+
 def test_page_postings_moves_items_without_their_text(spark, sf_dir):
     from jobweave.plans import q_text
 
